@@ -5,9 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewright.llm.conversations import INJECTED, rebuild_conversations
+from pagewright.llm.splitting import LIMIT, split_oversized
 from pagewright.plans import Query, table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries over the limit and the boundary they were cut at; a section end is a paragraph end."""
+    entries = table(spark, folder, "entries").select("id", "text").where(F.length("text") > LIMIT)
+    cut = F.when(F.col("cut_at") == "section", "paragraph").otherwise(F.col("cut_at"))
+    return (
+        split_oversized(entries, "id", "text", with_text=False)
+        .where((F.col("chunk_index") == 0) & F.col("cut_at").isNotNull())
+        .select(F.col("id").alias("entry_id"), cut.alias("cut_at"))
+        .distinct()
+    )
+
+
+def p1_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of every entry, repeated rows of one entry taken once."""
+    entries = table(spark, folder, "entries").groupBy("id").agg(F.min_by("text", "loaded_at").alias("text"))
+    return split_oversized(entries, "id", "text").withColumnRenamed("id", "entry_id")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The spoken messages of every kept session."""
     return rebuild_conversations(table(spark, folder, "log_events")).select("session_id", "pos", "uuid")
@@ -62,5 +81,10 @@ WITH l AS (
 SELECT session AS session_id, CAST(pos AS INTEGER) AS pos, uuid FROM o WHERE session NOT IN (SELECT session FROM bad)
 """
 
-QUERIES: dict[str, Query] = {"p6_found": p6_found, "p6_conversations": p6_conversations}
+QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_chunks": p1_chunks,
+    "p6_found": p6_found,
+    "p6_conversations": p6_conversations,
+}
 SQL: dict[str, str] = {"p6_found": P6_SQL}
