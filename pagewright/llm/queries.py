@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pagewright.llm.containers import CAPACITY, pack_containers, token_counts
 from pagewright.llm.conversations import INJECTED, rebuild_conversations
 from pagewright.llm.splitting import LIMIT, split_oversized
 from pagewright.plans import Query, table
@@ -47,6 +50,26 @@ def p6_conversations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: The vocabulary file that documents are sized with.
+VOCABULARY = os.environ.get("PAGEWRIGHT_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
+def p7_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document, or of its pieces where it is larger than one."""
+    sizes = token_counts(table(spark, folder, "documents"), "doc_id", "text", VOCABULARY)
+    return pack_containers(sizes, "doc_id", "tokens", CAPACITY)
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every container with what it holds and the room left."""
+    return (
+        p7_assignment(spark, folder)
+        .where(F.col("container_id").isNotNull())
+        .groupBy("container_id")
+        .agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), (F.lit(CAPACITY) - F.sum("tokens")).alias("unused"))
+    )
+
+
 _INJECTED_SQL = " OR ".join("contains(substr(text, 1, 200), '" + m.replace("'", "''") + "')" for m in INJECTED)
 
 P6_SQL = rf"""
@@ -86,5 +109,7 @@ QUERIES: dict[str, Query] = {
     "p1_chunks": p1_chunks,
     "p6_found": p6_found,
     "p6_conversations": p6_conversations,
+    "p7_assignment": p7_assignment,
+    "p7_containers": p7_containers,
 }
 SQL: dict[str, str] = {"p6_found": P6_SQL}
