@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewright.llm.containers import CAPACITY, pack_containers, token_counts
 from pagewright.llm.conversations import INJECTED, rebuild_conversations
+from pagewright.llm.personal import collisions, mentions, redacted
 from pagewright.llm.splitting import LIMIT, split_oversized
 from pagewright.plans import Query, table
 
@@ -30,6 +31,23 @@ def p1_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(entries, "id", "text").withColumnRenamed("id", "entry_id")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions of personal information in entries."""
+    found = mentions(table(spark, folder, "entries"), "id", "text")
+    return found.select(F.col("id").alias("entry_id"), "pii_type", "value").distinct()
+
+
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries with every mention replaced by a typed placeholder."""
+    entries = table(spark, folder, "entries").groupBy("id").agg(F.min_by("text", "loaded_at").alias("text"))
+    return redacted(entries, "id", "text", secret="archive")
+
+
+def p3_collisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Surrogates that stand for two different mentions anywhere (there are none)."""
+    return collisions(mentions(table(spark, folder, "entries"), "id", "text", secret="archive"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The spoken messages of every kept session."""
     return rebuild_conversations(table(spark, folder, "log_events")).select("session_id", "pos", "uuid")
@@ -107,6 +125,9 @@ SELECT session AS session_id, CAST(pos AS INTEGER) AS pos, uuid FROM o WHERE ses
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_chunks": p1_chunks,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
+    "p3_collisions": p3_collisions,
     "p6_found": p6_found,
     "p6_conversations": p6_conversations,
     "p7_assignment": p7_assignment,
