@@ -99,7 +99,7 @@ _ends = "|".join(ENDINGS)
 _TYPICAL = re.compile(rf"(?:{_ends}|ин|ов|ев|ова|ева|ина|ын|ский|ская|енко|ук|юк|чук|ец|уна)$", re.I)
 _family = rf"{_CAP}(?:-{_CAP})?"
 _FULL = re.compile(rf"(?<![\w.])([{_U}](?:{_L}+|\.(?:{_S}?[{_U}]\.){{0,2}}))(?=(?:{_S}[{_U}]\.){{0,2}}{_S}?(?:(?:{PARTICLES}){_S})?({_family})(?!\w))")
-_TURNED = re.compile(rf"(?<![\w\-])({_family}),{_S}({_CAP})(?!\w)")
+_TURNED = re.compile(rf"(?<![\w\-])({_family})(?=,{_S}({_CAP})(?!\w))")
 _lower = re.compile(rf"\b(?:{'|'.join(n.lower() for n in GIVEN)}){_S}({_L}+(?:{_ends}))\b")
 _KNOWN = frozenset(GIVEN) | {n.upper() for n in GIVEN}
 _KNOWN_LOWER = frozenset(n.lower() for n in GIVEN)
@@ -119,7 +119,7 @@ def _names_in(text: str) -> Iterator[tuple[int, int]]:
     for m in _TURNED.finditer(text):
         if m[2] in _KNOWN and m[1] not in _KNOWN and m[1] not in _NOT_FAMILY and _TYPICAL.search(m[1]) and not m[1].endswith("ova"):
             if not _PLACE.search(text, max(0, m.start() - 12), m.start()):
-                yield m.span()
+                yield m.start(), m.end(2)
     if not _KNOWN_LOWER.isdisjoint(text.split()):
         for m in _lower.finditer(text):
             yield m.span()
