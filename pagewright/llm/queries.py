@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewright.llm.containers import CAPACITY, pack_containers, token_counts
 from pagewright.llm.conversations import INJECTED, rebuild_conversations
+from pagewright.llm.leaks import SHARE, find_leaks
 from pagewright.llm.personal import collisions, mentions, redacted
 from pagewright.llm.splitting import LIMIT, split_oversized
 from pagewright.plans import Query, table
@@ -88,6 +89,16 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the items they hold or re-parameterise, and how much of them."""
+    return find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least half of an item's words."""
+    return p8_leaks(spark, folder).where(F.col("held") >= SHARE).select("doc_id", "item_id").distinct()
+
+
 _INJECTED_SQL = " OR ".join("contains(substr(text, 1, 200), '" + m.replace("'", "''") + "')" for m in INJECTED)
 
 P6_SQL = rf"""
@@ -132,5 +143,7 @@ QUERIES: dict[str, Query] = {
     "p6_conversations": p6_conversations,
     "p7_assignment": p7_assignment,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
 }
 SQL: dict[str, str] = {"p6_found": P6_SQL}
