@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pagewright.llm.containers import CAPACITY, pack_containers, token_counts
 from pagewright.llm.conversations import INJECTED, rebuild_conversations
 from pagewright.llm.leaks import SHARE, find_leaks
+from pagewright.llm.neighbours import most_similar
 from pagewright.llm.personal import collisions, mentions, redacted
 from pagewright.llm.splitting import LIMIT, split_oversized
 from pagewright.plans import Query, table
@@ -32,6 +33,18 @@ def p1_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(entries, "id", "text").withColumnRenamed("id", "entry_id")
 
 
+#: Numbers in a chunk's vector.
+DIM = 64
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks with a cosine of 0.85 or more, one among the 5 most similar of the other."""
+    found = most_similar(table(spark, folder, "chunks"), "chunk_id", "vector", dim=DIM, minimum=0.85)
+    return found.select(
+        F.least("chunk_id", "neighbour").alias("chunk_a"), F.greatest("chunk_id", "neighbour").alias("chunk_b")
+    ).distinct()
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Mentions of personal information in entries."""
     found = mentions(table(spark, folder, "entries"), "id", "text")
@@ -136,6 +149,7 @@ SELECT session AS session_id, CAST(pos AS INTEGER) AS pos, uuid FROM o WHERE ses
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_chunks": p1_chunks,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
     "p3_collisions": p3_collisions,
