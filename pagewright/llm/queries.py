@@ -11,6 +11,7 @@ from pagewright.llm.conversations import INJECTED, rebuild_conversations
 from pagewright.llm.leaks import SHARE, find_leaks
 from pagewright.llm.neighbours import most_similar
 from pagewright.llm.personal import collisions, mentions, redacted
+from pagewright.llm.sentences import sentences
 from pagewright.llm.splitting import LIMIT, split_oversized
 from pagewright.plans import Query, table
 
@@ -112,6 +113,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_leaks(spark, folder).where(F.col("held") >= SHARE).select("doc_id", "item_id").distinct()
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences of every document; doc_id is unique, so the rows are distinct."""
+    return sentences(table(spark, folder, "documents"), "doc_id", "text")
+
+
 _INJECTED_SQL = " OR ".join("contains(substr(text, 1, 200), '" + m.replace("'", "''") + "')" for m in INJECTED)
 
 P6_SQL = rf"""
@@ -159,5 +165,6 @@ QUERIES: dict[str, Query] = {
     "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
+    "p9_found": p9_found,
 }
 SQL: dict[str, str] = {"p6_found": P6_SQL}
