@@ -10,6 +10,7 @@ from pagewright.llm.containers import CAPACITY, pack_containers, token_counts
 from pagewright.llm.conversations import INJECTED, rebuild_conversations
 from pagewright.llm.leaks import SHARE, find_leaks
 from pagewright.llm.neighbours import most_similar
+from pagewright.llm.pairs import defects
 from pagewright.llm.personal import collisions, mentions, redacted
 from pagewright.llm.sentences import sentences
 from pagewright.llm.splitting import LIMIT, split_oversized
@@ -63,6 +64,11 @@ def p3_collisions(spark: SparkSession, folder: str) -> DataFrame:
     return collisions(mentions(table(spark, folder, "entries"), "id", "text", secret="archive"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Broken question and answer pairs with their defect."""
+    return defects(table(spark, folder, "gen_results"), "gen_id").distinct()
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The spoken messages of every kept session."""
     return rebuild_conversations(table(spark, folder, "log_events")).select("session_id", "pos", "uuid")
@@ -159,6 +165,7 @@ QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
     "p3_collisions": p3_collisions,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_conversations": p6_conversations,
     "p7_assignment": p7_assignment,
