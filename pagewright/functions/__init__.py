@@ -1 +1 @@
-
+"""Column functions over text, dates and paths."""
