@@ -51,11 +51,14 @@ def pack(parts: Column, limit: Column, least: int = LEAST, overlap: int = OVERLA
             F.when(long, 0).otherwise(F.when(fresh, 0).otherwise(a["n"]) + F.length(p) + 2).alias("n"),
         )
 
-    done = lambda a: F.when(a["n"] > 0, F.array_append(a["out"], a["cur"])).otherwise(a["out"])
-    chunks = F.aggregate(parts, state, step, done)
-    size, last = F.size(chunks), F.try_element_at(chunks, F.lit(-1))
-    merged = F.concat(F.slice(chunks, F.lit(1), F.greatest(size - 2, F.lit(0))), F.array(F.concat(F.try_element_at(chunks, F.lit(-2)), F.lit("\n\n"), last)))
-    return F.when((size > 1) & (F.length(last) < least), merged).otherwise(chunks)
+    def done(a: Column) -> Column:  # inside the fold, which is thus evaluated once
+        chunks = F.when(a["n"] > 0, F.array_append(a["out"], a["cur"])).otherwise(a["out"])
+        size, last = F.size(chunks), F.try_element_at(chunks, F.lit(-1))
+        whole = F.concat(F.try_element_at(chunks, F.lit(-2)), F.lit("\n\n"), last)
+        merged = F.concat(F.slice(chunks, F.lit(1), F.greatest(size - 2, F.lit(0))), F.array(whole))
+        return F.when((size > 1) & (F.length(last) < least), merged).otherwise(chunks)
+
+    return F.aggregate(parts, state, step, done)
 
 
 def chunk_entries(entries: DataFrame, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERLAP) -> DataFrame:
@@ -70,7 +73,9 @@ def chunk_entries(entries: DataFrame, limit: int = LIMIT, least: int = LEAST, ov
     n, size = F.size("_bodies"), F.length("_head") + F.length("body")
     passed = F.filter(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: w.isin("reconstructed", "no_captions"))
     add = lambda c, w: F.when(c, F.array(F.lit(w))).otherwise(F.array().cast("array<string>"))
-    return rows.select("*", F.posexplode("_bodies").alias("chunk_index", "body")).select(
+    # the outer form keeps the optimizer from evaluating the fold again for a filter on its size
+    rows = rows.select("*", F.posexplode_outer("_bodies").alias("chunk_index", "body")).where(F.col("body").isNotNull())
+    return rows.select(
         F.concat(F.col("id"), F.lit("/"), F.col("chunk_index").cast("string")).alias("chunk_id"),
         F.col("id").alias("entry_id"),
         F.concat("_head", "body").alias("text"),

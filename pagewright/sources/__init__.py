@@ -1 +1 @@
-
+"""Files of an archive as DataFrames."""

@@ -1 +1 @@
-
+"""Incremental builds as streams."""
