@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from pagewright.functions import dates as D
 from pagewright.functions.text import MEDIA
+from pagewright.sources.store import latest, publish
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
@@ -75,9 +76,9 @@ def days(spark: SparkSession, root: str) -> DataFrame:
 
 
 def cached_days(spark: SparkSession, root: str, store: str, rescan: bool = False) -> DataFrame:
-    """``days``, kept at ``store`` and read from there unless ``rescan``."""
-    from pagewright.sources.store import exists
-
-    if rescan or not exists(spark, store):
-        days(spark, root).write.mode("overwrite").parquet(store)
-    return spark.read.parquet(store)
+    """``days``, kept as versions at ``store`` (outside the tree) and read from there unless ``rescan``."""
+    held = None if rescan else latest(spark, store)
+    if held is None:
+        publish(days(spark, root), store)
+        held = latest(spark, store)
+    return held
