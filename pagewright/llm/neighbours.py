@@ -106,7 +106,7 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 
 
 def most_similar(
-    df: DataFrame, key: str, vector: str, *, dim: int, k: int = 5, minimum: float = -1.0, route: float = 0.06, factor: float = 0.5, shard: int = SHARD
+    df: DataFrame, key: str, vector: str, *, dim: int, k: int = 5, minimum: float = -1.0, route: float = 0.07, factor: float = 0.7, shard: int = SHARD
 ) -> DataFrame:
     """(key, neighbour, rank, cosine): up to k other keys most similar to each, none under ``minimum``.
 
