@@ -9,7 +9,7 @@ CASES = [
     ('"a so-called ""mill""", \'pear | line\', „cheerful, but kind“', ['a so-called "mill"', "pear | line", "cheerful, but kind"]),
     ('6" of herring, the cook\'s hat,  , x', ['6" of herring', "the cook's hat", "x"]),
     ('["a so-called \\"bakery\\"", "b, c"]', ['a so-called "bakery"', "b, c"]),
-    ("we waited\; he did not; nettle pie\\, again", ["we waited; he did not", "nettle pie, again"]),
+    ("we waited\\; he did not; nettle pie\\, again", ["we waited; he did not", "nettle pie, again"]),
     ("the 'steep' hall\n \nhalf-day/full-day library|", ["the 'steep' hall", "half-day/full-day library"]),
     ("'the baker's hat, blue';b", ["the baker's hat, blue", "b"]),
     ("didn't see it | 'we waited; no'", ["didn't see it", "we waited; no"]),
