@@ -47,6 +47,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     ).distinct()
 
 
+def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 other chunks most similar to every chunk with a usable vector, however far."""
+    return most_similar(table(spark, folder, "chunks"), "chunk_id", "vector", dim=DIM, route=0.025)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Mentions of personal information in entries."""
     found = mentions(table(spark, folder, "entries"), "id", "text")
@@ -162,6 +167,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_chunks": p1_chunks,
     "p2_found": p2_found,
+    "p2_neighbours": p2_neighbours,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
     "p3_collisions": p3_collisions,
