@@ -98,7 +98,7 @@ def file_policy(files: DataFrame, most: int = 5_000_000) -> DataFrame:
     """(path, reason) of files (path, size) that do not belong into a repository of code."""
     path = F.col("path")
     reason = (
-        F.when(path.rlike(r"(?i)\.(docx?|jpe?g|png|heic|mov|mp4|jsonl|parquet|lance|db)$"), "archive content")
+        F.when(path.rlike(r"(?i)\.(docx?|jpe?g|png|heic|mov|mp4|jsonl|parquet|db)$"), "archive content")
         .when(path.rlike(r"(^|/)(data|raw|index|archive)/"), "archive folder")
         .when(path.rlike(r"\.ipynb$"), "notebook, may hold outputs")
         .when(F.col("size") > most, "large file")
