@@ -36,6 +36,8 @@ _HIDDEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿̀-ͯ]")
 _MOJIBAKE = re.compile("(?:[Â-ô][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,3})+")
 _WORD = re.compile(r"[^\W_]+")
 _IN_NUMBER = re.compile(r"(?<=\d)[.:,](?=\d)")
+#: Words after a blank that follows no end of a sentence, those in small Latin letters left out.
+_INNER = re.compile(r" (?<=[^.!?…:] )((?![a-z])[^\W\d_][^\W_]*)")
 # Units and currencies that stand beside numbers.
 UNITS = frozenset("km m cm mm kg g l ml min minutes hours days coins euros dollars pounds miles paces steps minuten stunden tage taler minutes heures jours sous monedas minutos horas монет минут вёрст лет".split())
 NUMBER, NAME, UNIT = 1, 2, 3
@@ -101,6 +103,12 @@ class Items:
         return {w for w in high if w not in low}
 
 
+def new_names(text: str, unseen: set[str]) -> set[str]:
+    """Words of ``unseen`` that are names in the text, by the rule of the items: capitalised inside a sentence, never in lower case."""
+    found = {w.lower() for w in _INNER.findall(text) if w[0].isupper()} & unseen
+    return found.difference(_WORD.findall(text)) if found else found
+
+
 def window_hashes(codes: np.ndarray) -> np.ndarray:
     """Hashes of all windows of WORDS codes."""
     n = len(codes) - WORDS + 1
@@ -113,10 +121,12 @@ def window_hashes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def chain(item: np.ndarray, doc: np.ndarray, place: np.ndarray, at: np.ndarray, template: np.ndarray) -> tuple[float, float, bool]:
+def chain(item: np.ndarray, doc: np.ndarray, place: np.ndarray, at: np.ndarray, template: np.ndarray, kinds: np.ndarray) -> tuple[float, float, bool]:
     """(share of the item's words held, share of its template held, slots filled consistently) of the best passage.
 
-    ``place`` and ``at`` are the shared windows' positions in item and document.
+    ``place`` and ``at`` are the shared windows' positions in item and document,
+    ``kinds`` the types of the document's words. A slot's fillings are the words of
+    its type; a word of another type is a replaced one and no part of the template.
     Windows on one diagonal form runs; runs are chained in order, at most APART
     words of the document apart, and each run is widened over single replaced words.
     """
@@ -158,11 +168,12 @@ def chain(item: np.ndarray, doc: np.ndarray, place: np.ndarray, at: np.ndarray,
         a, b, d = runs[k]
         b = min(b, seen, left_of - d)
         if a < b:
-            left, right = item[a:b], doc[a + d : b + d]
-            alike += int((template[left] == np.where(right >= 0, template[np.maximum(right, 0)], -1)).sum())
-            for x, y in zip(left.tolist(), right.tolist()):
-                if template[x] in (NUMBER, NAME):
-                    clash += fillings.setdefault(x, y) != y
+            left, right, kind = item[a:b], doc[a + d : b + d], template[item[a:b]]
+            fits = kind == kinds[a + d : b + d]
+            alike += int(fits.sum())
+            slots = fits & ((kind == NUMBER) | (kind == NAME))
+            for x, y in zip(left[slots].tolist(), right[slots].tolist()):
+                clash += fillings.setdefault(x, y) != y
             seen, left_of = a, a + d
         k = best[k][2]
     return held / n, alike / n, clash == 0
@@ -170,28 +181,36 @@ def chain(item: np.ndarray, doc: np.ndarray, place: np.ndarray, at: np.ndarray,
 
 def _search(items: Items):
     ids, template = items.ids, items.template
+    known = {w: items.kinds[k] for w, k in ids.items()}
     sizes = np.array([len(c) for c in items.coded], dtype=np.int64)
 
     def of(texts: list[str]) -> list[tuple[int, int, float, float, bool]]:
         """(text, item, held, template held, slots consistent) of every candidate pair."""
-        coded, owner = [], []
+        coded, typed, owner = [], [], []
+        unseen: dict[str, int] = {}  # words of no item are told apart as well: fillings are compared
         for k, text in enumerate(texts):
             if text:
-                row = [ids.get(w, -1) if not w[0].isdigit() else ids.get(w, -2) for w in words(text)]
-                if len(row) >= WORDS:
-                    coded.append(np.array(row, dtype=np.int64))
+                shown = plain(text)
+                said = _WORD.findall(shown.lower())
+                if len(said) >= WORDS:
+                    own = {*said}.difference(ids)
+                    names = new_names(shown, own)
+                    for w in own:
+                        unseen.setdefault(w, len(template) + len(unseen))
+                    kinds = dict.fromkeys(own, -1) | dict.fromkeys(own & UNITS, UNIT) | dict.fromkeys(names, NAME) | {w: NUMBER for w in own if w[0].isdigit()}
+                    coded.append(np.array([ids[w] if w in ids else unseen[w] for w in said], dtype=np.int64))
+                    typed.append(np.array([known[w] if w in known else kinds[w] for w in said], dtype=np.int64))
                     owner.append(k)
         if not coded or not len(items.hashes):
             return []
-        codes = np.concatenate([np.r_[c, -3] for c in coded])
         lengths = np.array([len(c) + 1 for c in coded])
         starts = np.cumsum(lengths) - lengths
-        kinds = np.where(codes >= 0, template[np.maximum(codes, 0)], np.where(codes == -2, NUMBER, -1))
+        kinds = np.concatenate([np.r_[t, -1] for t in typed])
         hashes = window_hashes(kinds)
-        known = np.ones(len(hashes), dtype=bool)
+        whole = np.ones(len(hashes), dtype=bool)
         for k in range(WORDS):
-            known &= kinds[k : k + len(hashes)] >= 0
-        at = np.flatnonzero(known)
+            whole &= kinds[k : k + len(hashes)] >= 0
+        at = np.flatnonzero(whole)
         low = np.searchsorted(items.hashes, hashes[at], side="left")
         n = np.searchsorted(items.hashes, hashes[at], side="right") - low
         at, low, n = at[n > 0], low[n > 0], n[n > 0]
@@ -210,7 +229,7 @@ def _search(items: Items):
             # half of the words with single ones replaced still share a fifth of the windows
             if (b - a) * 5 < SHARE * sizes[i]:
                 continue
-            held, alike, steady = chain(items.coded[i], coded[k], place[a:b], at[a:b] - starts[k], template)
+            held, alike, steady = chain(items.coded[i], coded[k], place[a:b], at[a:b] - starts[k], template, typed[k])
             out.append((owner[k], i, held, alike, steady))
         return out
 

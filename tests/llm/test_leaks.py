@@ -49,3 +49,23 @@ def test_rows(spark):
     assert [(r.doc_id, r.item_id) for r in rows] == [(1, 1)] * 2
     assert find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
     assert find_leaks(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
+
+
+SLOTTED = "On the road to Osdolo old Victor paid 53 coins for a lamp, and the baker said that Victor had walked 12 miles from Osdolo with 53 coins in a tin."
+
+
+def found(doc):
+    rows = _search(Items([(0, SLOTTED)]))([doc])
+    return [(f[3], f[4]) for f in rows if f[2] >= 0.5 or (f[4] and f[3] >= 0.5)]
+
+
+def test_new_names_numbers_and_units_fill_slots():
+    changed = SLOTTED.replace("Osdolo", "Bergen").replace("Victor", "Henrik").replace("53", "71").replace("12", "9041").replace("miles", "vorst")
+    assert found(FILL + changed.replace("vorst", "km") + FILL) == [(1.0, True)]
+    assert found(FILL + changed + FILL)[0][0] > 0.9
+    rows = _search(Items([(0, SLOTTED)]))
+    held = rows([changed.replace("vorst", "km")])[0]
+    assert held[3] == 1.0 and held[2] < 0.8
+    # one slot filled by two new numbers, or two new names
+    assert not rows([changed.replace("71 coins in", "88 coins in")])[0][4]
+    assert not rows([changed.replace("that Henrik", "that Stefan")])[0][4]
