@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Documents, by smallest hash, that the model is fitted on, and the characters taken of all of them at most.
-FIT, FIT_CHARS = 3000, 20_000_000
-#: Rounds of expectation and maximisation over the gaps of those.
+#: Rounds of expectation and maximisation over the gaps of all documents.
 EM = 3
+#: Distinct keys a task counts before it hands its counts on.
+KEYS = 200_000
 RARE = 5
 _BLOCK = re.compile(r"\n[^\S\n]*\n\s*")
 _MARKS = re.compile("[\"'“”„«»‘’()（）「」『』\\[\\]《》〈〉]")
@@ -197,41 +197,83 @@ def _blocks(text: str) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
-class Model:
-    """Estimates from paragraphs, whose edges are the only boundaries it is told."""
+class Counts:
+    """What the model is estimated from: sums over texts, so counts of parts add up to those of the whole."""
 
-    def __init__(self, texts: Iterator[str]):
-        self.final, self.seen, self.starts, self.words = Counter(), Counter(), Counter(), Counter()
-        unsure: Counter = Counter()
+    def __init__(self, texts: Iterator[str] = ()):
+        self.final, self.seen, self.starts, self.words, self.unsure = (Counter() for _ in range(5))
+        self._raw: Counter = Counter()
         for text in texts:
-            for a, b in _blocks(text):
-                block = text[a:b].rstrip()
-                b = a + len(block)
-                if len(block) < 30 or _BULLET.match(block):
-                    continue
-                w, _ = _right_key(text, a)
-                self.starts[w] += 1
-                for m in _GENERAL.finditer(text, a + 1, b):
-                    w = m[0]
-                    if _CJK.match(w[0]):
-                        for k in range(0, len(w) - 1):
-                            self.words[w[k : k + 2]] += 1
-                        continue
-                    if _THAI_WORD.match(w[0]):
-                        self.words[w[:5]] += 1
-                        continue
-                    self.words["<digits>" if w[0].isdigit() else _bare(w)[:14]] += 1
-                caseless = block.islower() or block.isupper()
+            self.add(text)
+
+    def __len__(self) -> int:
+        return len(self._raw) + len(self.unsure)
+
+    def add(self, text: str) -> None:
+        for a, b in _blocks(text):
+            block = text[a:b].rstrip()
+            b = a + len(block)
+            caseless = block.islower() or block.isupper()
+            if len(block) < 30 or _BULLET.match(block):
+                # tells nothing of sentences, but the model is asked for its gaps
                 for at, end, after in _gaps(text, a, b):
-                    key = _left_key(text, a, at, end)
-                    self.seen[key] += 1
-                    unsure[(key, *_right_key(text, after), caseless)] += 1
-                tail = len(block.rstrip(_CLOSERS))
-                if tail and block[tail - 1] in ".!?…؟।。！？":
-                    at = a + len(block[:tail].rstrip(".!?…؟।。！？"))
-                    key = _left_key(text, a, at, b)
-                    self.final[key] += 1
-                    self.seen[key] += 1
+                    self.unsure[(_left_key(text, a, at, end), *_right_key(text, after), caseless)] += 0
+                continue
+            w, _ = _right_key(text, a)
+            self.starts[w] += 1
+            self._raw.update(_GENERAL.findall(text, a + 1, b))
+            for at, end, after in _gaps(text, a, b):
+                key = _left_key(text, a, at, end)
+                self.seen[key] += 1
+                self.unsure[(key, *_right_key(text, after), caseless)] += 1
+            tail = len(block.rstrip(_CLOSERS))
+            if tail and block[tail - 1] in ".!?…؟।。！？":
+                at = a + len(block[:tail].rstrip(".!?…؟।。！？"))
+                key = _left_key(text, a, at, b)
+                self.final[key] += 1
+                self.seen[key] += 1
+
+    def _words(self) -> Counter:
+        for w, n in self._raw.items():
+            if _CJK.match(w[0]):
+                for k in range(0, len(w) - 1):
+                    self.words[w[k : k + 2]] += n
+            elif _THAI_WORD.match(w[0]):
+                self.words[w[:5]] += n
+            else:
+                self.words["<digits>" if w[0].isdigit() else _bare(w)[:14]] += n
+        self._raw.clear()
+        return self.words
+
+    def rows(self) -> pa.RecordBatch:
+        """(what, key, word, kind, caseless, n), one row per key."""
+        rows = [(what, key, "", "", False, n) for what, own in zip("fnsw", (self.final, self.seen, self.starts, self._words())) for key, n in own.items()]
+        rows += [("g", *key, n) for key, n in self.unsure.items()]
+        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows)] or [()] * 6, types)], names=[*_KEY, "n"])
+
+    @classmethod
+    def of(cls, rows: Iterator[tuple]) -> Counts:
+        """The counts that such rows hold."""
+        out = cls()
+        into = dict(zip("fnsw", (out.final, out.seen, out.starts, out.words)))
+        for what, key, word, kind, caseless, n in rows:
+            if what == "g":
+                out.unsure[(key, word, kind, caseless)] += n
+            else:
+                into[what][key] += n
+        return out
+
+
+_KEY = ("what", "key", "word", "kind", "caseless")
+
+
+class Model:
+    """Estimates from paragraphs, whose edges are the only boundaries it is told."""
+
+    def __init__(self, texts: Iterator[str] | Counts):
+        counts = texts if isinstance(texts, Counts) else Counts(texts)
+        self.final, self.seen, self.starts, self.words, unsure = counts.final, counts.seen, counts.starts, counts._words(), counts.unsure
         self.rate = self.final["<word>"] / max(self.seen["<word>"], 1) or 0.2
         # what an unseen word of a class tells is learnt from the rare ones
         self.start_class, self.word_class = Counter(), Counter()
@@ -246,6 +288,8 @@ class Model:
         for _ in range(EM):
             expected, opened = Counter(self.final), Counter()
             for (key, *right), n in unsure.items():
+                if not n:
+                    continue
                 share = n / (1 + math.exp(-self.before[key] - self.right(*right)))
                 expected[key] += share
                 opened[right[0]] += share
@@ -257,6 +301,12 @@ class Model:
             for key, n in self.seen.items():
                 spare = 1 if len(key) < 5 else 3
                 self.before[key] = self._odds(key, min(expected[key], 1.3 * n * (self.final[key] + spare) / (n * self.rate + spare)), n)
+        # only words that follow gaps are asked for
+        asked = {right[0] for _, *right in unsure}
+        lower = {w.lower() for w in asked}
+        self.starts, self.words = (Counter({w: own[w] for w in asked if w in own}) for own in (self.starts, self.words))
+        self.low_starts, self.low_words = (Counter({w: own[w] for w in lower if w in own}) for own in (self.low_starts, self.low_words))
+        self.after = {}
 
     def _tables(self) -> None:
         self.n_starts, self.n_words = sum(self.starts.values()), sum(self.words.values())
@@ -371,27 +421,43 @@ def _decide(text: str, start: int, gaps: list[tuple[int, int, int]], odds: list[
         k = end
 
 
-def sentences(df: DataFrame, key: str, text: str, *, fit: int = FIT) -> DataFrame:
+def fitted(rows: DataFrame, text: str) -> Model:
+    """The model of all distinct texts.
+
+    Tasks count, Spark sums; what comes to the driver is one row per distinct key
+    (words, and pairs of what stands before and after gaps), however many texts
+    there are. The texts are shuffled by hash once, so that copies count once.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, met = Counts(), set()
+        for batch in batches:
+            for h, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if h not in met:
+                    met.add(h)
+                    counts.add(value)
+            if len(counts) > KEYS:
+                yield counts.rows()
+                counts = Counts()
+        yield counts.rows()
+
+    texts = rows.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")).repartition("h")
+    partial = texts.mapInArrow(count, "what string, key string, word string, kind string, caseless boolean, n long")
+    summed = partial.groupBy(*_KEY).agg(F.sum("n").alias("n")).toArrow()
+    # in one order, so that sums of shares come out alike in every run
+    return Model(Counts.of(sorted(zip(*(c.to_pylist() for c in summed.columns)))))
+
+
+def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start_char, end_char): the sentences of every text, offsets from 0 in code points, end exclusive.
 
-    The model is fitted on ``fit`` distinct texts of smallest hash, a bounded
-    sample; what is split is every text. Null and blank texts have no sentence;
-    repeated rows repeated ones; other columns are ignored. A map without a
-    shuffle of the texts.
+    The model is estimated from all distinct texts (``fitted``). Null and blank
+    texts have no sentence; repeated rows repeated ones; other columns are
+    ignored. Splitting is a map without a shuffle of the texts.
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
-    # hashes first: the sort for the sample moves no text
-    picked = [r.h for r in rows.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(fit).collect()]
-    sample: dict[int, str] = {}
-    if picked:
-        chars = 0
-        for r in rows.where(F.xxhash64("text") <= picked[-1]).select(F.xxhash64("text").alias("h"), "text").dropDuplicates(["h"]).orderBy("h").toLocalIterator():
-            chars += len(r.text)
-            if chars > FIT_CHARS:
-                break
-            sample[r.h] = r.text
-    model = Model(iter(sample.values()))
+    model = fitted(rows, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

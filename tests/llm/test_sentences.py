@@ -1,6 +1,6 @@
 import random
 
-from pagewright.llm.sentences import Model, sentences, spans_of_marks, split_sentences
+from pagewright.llm.sentences import Model, fitted, sentences, spans_of_marks, split_sentences
 
 STARTS = ["We walked to the mill.", "Dr. Kolay came at 18:30 p.m. today.", "The hut is approx. 3.5 km away.", "Then it rained.", "Is it far?", "They ate bread, jam, etc. at noon.", "We left with Dr. Marov."]
 ZH = ["我们到了云溪渡。", "“天晚了。回去吧。”船夫说。", "老人问：“远吗？”", "晚饭是鱼汤。"]
@@ -62,3 +62,14 @@ def test_rows(spark):
     rows = sentences(df, "doc_id", "text").collect()
     assert {r.doc_id for r in rows} == {1, 5} and sum(r.doc_id == 1 for r in rows) in (2, 4)
     assert sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_all_texts_are_counted(spark):
+    texts = [*dict.fromkeys(corpus(2000))]
+    assert len(texts) > 3000
+    whole = Model(iter(texts))
+    df = spark.createDataFrame([(t,) for t in [*texts, *texts[:50]]], "text string").repartition(7)
+    model = fitted(df, "text")
+    assert model.seen == whole.seen and model.final == whole.final and model.starts == whole.starts
+    assert model.n_starts == whole.n_starts and abs(model.n_words - whole.n_words) < 1e-6 * whole.n_words
+    assert all(abs(model.before[k] - v) < 1e-9 for k, v in whole.before.items())
