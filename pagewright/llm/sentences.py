@@ -30,7 +30,6 @@ _BLOCK = re.compile(r"\n[^\S\n]*\n\s*")
 _MARKS = re.compile("[\"'“”„«»‘’()（）「」『』\\[\\]《》〈〉]")
 _PAIRS = {"(": ")", "（": "）", "「": "」", "『": "』", "[": "]", "《": "》", "〈": "〉", "«": "»"}
 _CLOSE = {v: k for k, v in _PAIRS.items()}
-_MOST = 800
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏŠŽČĆĐŁŚŻŹŐŰİĞŞ"
 _THAI = "฀-๿຀-໿ក-៿က-႟"
 #: Gaps: terminators (a Greek question mark before a Greek capital), or blanks beside scripts without them.
@@ -46,15 +45,18 @@ _GENERAL = re.compile(r"\w+(?:['’]\w+)?")
 
 
 def spans_of_marks(text: str) -> list[tuple[int, int]]:
-    """(open, close) of matched quotations and brackets, outermost only."""
+    """(open, close) of matched quotations and brackets of a paragraph, outermost only, however long.
+
+    A mark that is not closed before the paragraph ends, or before one around it
+    closes, opens nothing.
+    """
     stack: list[tuple[str, int]] = []
     found: list[tuple[int, int]] = []
 
     def shut(opener: str, at: int) -> None:
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == opener:
-                if at - stack[k][1] <= _MOST:
-                    found.append((stack[k][1], at))
+                found.append((stack[k][1], at))
                 del stack[k:]
                 return
 

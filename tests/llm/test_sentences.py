@@ -73,3 +73,13 @@ def test_all_texts_are_counted(spark):
     assert model.seen == whole.seen and model.final == whole.final and model.starts == whole.starts
     assert model.n_starts == whole.n_starts and abs(model.n_words - whole.n_words) < 1e-6 * whole.n_words
     assert all(abs(model.before[k] - v) < 1e-9 for k, v in whole.before.items())
+
+
+def test_long_quotations_and_unclosed_marks():
+    said = "We walked to the mill. Then it rained. " * 40
+    for a, b in ("“”", "()", '""', "«»"):
+        whole = f"They said {a}{said.strip()}{b} to the cook."
+        assert len(said) > 1500 and cut(whole + " Then it rained.") == [whole, "Then it rained."]
+    assert len(cut("They said “" + said.strip())) == len(cut("They said " + said.strip())) == 80
+    # an unclosed mark ends with its paragraph
+    assert cut("They said “We walked to the mill. Then it rained.\n\nThen it rained.” We walked to the mill.")[:2] == ["They said “We walked to the mill.", "Then it rained."]
