@@ -4,11 +4,14 @@ Mail addresses, phone and identity numbers, street addresses and full names are
 found by patterns, overlaps settled in that order of types. A mention becomes a
 placeholder of its type around a keyed surrogate, such as ``[NAME Keldo Ravumen]``.
 
-The surrogate is a keyed permutation of characters, each position's permutation
-depending on what stands before it: digits stay digits, vowels vowels and
-consonants consonants of their script, case and punctuation stay, and the last
-letter of a given name stays, which carries its gender. Such a map is one to one
-by construction, so distinct mentions stay distinct and equal ones equal, in
+The surrogate is a keyed permutation of characters, each one's permutation
+depending on what stands before it in the canonical value: digits of a number,
+an address without obfuscation, each part of a name by itself. Blanks, punctuation
+and the order of a name's parts are those of the mention, so one value written in
+several ways has one surrogate written in these ways, and an initial is that of
+the given name's surrogate. Digits stay digits, vowels vowels and consonants
+consonants of their script, case stays, and the last letter of a given name
+stays, which carries its gender. Such a map is one to one by construction, in
 every row and without a shared table; ``collisions`` checks it.
 """
 
@@ -186,18 +189,78 @@ def _shuffled(key: bytes, before: str, alphabet: str) -> str:
     return "".join(sorted(alphabet, key=lambda c: hashlib.blake2b(c.encode(), key=seed, digest_size=8).digest()))
 
 
+_OBFUSCATED = re.compile(r"[(\[](at|dot)[)\]]", re.I)
+_INTERNATIONAL = re.compile(r"\+|00")
+#: The trunk zero that is not dialled after a country's prefix.
+_TRUNK = re.compile(r"\(0\)")
+_PART = re.compile(r"[^\s.,]+")
+
+
+def _said(mention: str, kind: str) -> Iterator[tuple[int, str, str, bool]]:
+    """(place in the mention, part of the value, canonical character, whether it stays) of what makes up the value."""
+    plain = [c.lower() for c in mention]
+    plain = [c if len(c) == 1 else shown for c, shown in zip(plain, mention)]
+    if kind == "name":
+        parts = [*_PART.finditer(mention)]
+        comma = mention.find(",")
+        families = [m for m in parts if m.end() <= comma] if comma >= 0 else parts[-1:]
+        first = True
+        for m in parts:
+            letters = [k for k in range(*m.span()) if plain[k].isalnum()]
+            small = m[0].islower() and m is not parts[0] and m not in families
+            what = "family" if m in families else "particle" if small else "given"
+            full = what == "given" and first and len(letters) > 1
+            first = first and not full
+            for k in letters:
+                yield k, what + str(m.start() if what == "family" and len(families) > 1 else ""), plain[k], full and k == letters[-1]
+        return
+    skip: set[int] = set()
+    if kind == "phone":
+        prefix = _INTERNATIONAL.match(mention)
+        part = "+" if prefix else ""
+        if prefix:
+            skip.update(range(prefix.end()))
+            for m in _TRUNK.finditer(mention):
+                skip.update(range(*m.span()))
+        digits = [k for k, c in enumerate(plain) if c.isdigit() and k not in skip]
+        keep = 0 if not prefix else 1 if plain[digits[0]] in "17" else 2
+        for n, k in enumerate(digits):
+            yield k, part, plain[k], n < keep
+        return
+    if kind == "email":
+        for m in _OBFUSCATED.finditer(mention):
+            skip.update(range(*m.span()))
+            plain[m.start()] = "@" if m[1].lower() == "at" else "."
+            skip.discard(m.start())
+    for k, c in enumerate(plain):
+        if k not in skip and (c.isalnum() or kind == "email" and not c.isspace()):
+            yield k, "", c, False
+
+
+def canonical(mention: str, kind: str, other: str = "") -> str:
+    """The value that a mention, or its surrogate ``other``, writes: equal for all its ways of being written, name parts in one order."""
+    parts: dict[tuple[str, int], str] = {}
+    at, last = 0, (-2, "")
+    for k, part, c, _ in _said(mention, kind):
+        if kind == "name" and (k != last[0] + 1 and not set(mention[last[0] + 1 : k]) <= set("-'’") or part != last[1]):
+            at = k
+        parts[part, at] = parts.get((part, at), "") + (other[k].lower() if other and c.isalnum() else c)
+        last = k, part
+    return " ".join(f"{part} {said}".strip() for (part, _), said in sorted(parts.items()))
+
+
 def surrogate(mention: str, kind: str, key: bytes) -> str:
-    """The mention with every letter and digit replaced within its class; one to one for each key and type."""
-    plain, out = mention.lower(), []
-    given = len(re.split(r"[\s,]", mention, maxsplit=1)[0]) if kind == "name" else 0
-    keep = len(re.match(r"(?:\+|00)\d{1,2}", mention)[0]) if kind == "phone" and re.match(r"(?:\+|00)\d{1,2}", mention) else 0
-    for k, (shown, c) in enumerate(zip(mention, plain)):
+    """The mention with every letter and digit of its value replaced within its class; one to one for each key and type."""
+    out, before, last = [*mention], "", (-2, "")
+    for k, part, c, stays in _said(mention, kind):
+        if kind == "name" and (part != last[1] or not set(mention[last[0] + 1 : k]) <= set("-'’")):
+            before = ""
         alphabet = _CLASS.get(c)
-        if alphabet is None or k < keep or k + 1 == given:
-            out.append(shown)
-            continue
-        new = _shuffled(key, kind + plain[:k], alphabet)[alphabet.index(c)]
-        out.append(new.upper() if shown != c else new)
+        if alphabet is not None and not stays:
+            new = _shuffled(key, kind + part + "\0" + before, alphabet)[alphabet.index(c)]
+            out[k] = new.upper() if mention[k] != c else new
+        before += c
+        last = k, part
     return "".join(out)
 
 
@@ -210,9 +273,10 @@ def redact(text: str, key: bytes) -> str:
 
 
 def mentions(df: DataFrame, key: str, text: str, *, secret: str = "") -> DataFrame:
-    """(key, pii_type, start_char, end_char, mention, value, surrogate) of every mention.
+    """(key, pii_type, start_char, end_char, mention, value, surrogate, entity, surrogate_entity) of every mention.
 
-    ``value`` is the mention in lower case with letters and digits only. Null and
+    ``value`` is the mention in lower case with letters and digits only, the
+    entities are the canonical values of mention and surrogate. Null and
     empty texts give none; repeated rows give repeated mentions; other columns
     are ignored. A map without a shuffle.
     """
@@ -224,16 +288,17 @@ def mentions(df: DataFrame, key: str, text: str, *, secret: str = "") -> DataFra
             for row, value in enumerate(batch.column(1).to_pylist()):
                 for a, b, what in find_mentions(value):
                     said = value[a:b]
-                    rows.append((row, what, a, b, said, "".join(filter(str.isalnum, said.lower())), surrogate(said, what, secret.encode())))
-            columns = [*zip(*rows)] or [()] * 7
-            types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+                    other = surrogate(said, what, secret.encode())
+                    rows.append((row, what, a, b, said, "".join(filter(str.isalnum, said.lower())), other, canonical(said, what), canonical(said, what, other)))
+            columns = [*zip(*rows)] or [()] * 9
+            types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(arrays[0]), *arrays[1:]], names=[f"c{k}" for k in range(7)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(arrays[0]), *arrays[1:]], names=[f"c{k}" for k in range(9)])
 
     return (
         df.select(F.col(key).alias("key"), F.col(text).alias("text"))
         .where(F.length("text") > 0)
-        .mapInArrow(run, f"key {kind}, pii_type string, start_char int, end_char int, mention string, value string, surrogate string")
+        .mapInArrow(run, f"key {kind}, pii_type string, start_char int, end_char int, mention string, value string, surrogate string, entity string, surrogate_entity string")
         .withColumnRenamed("key", key)
     )
 
@@ -255,6 +320,15 @@ def redacted(df: DataFrame, key: str, text: str, *, secret: str = "") -> DataFra
 
 
 def collisions(found: DataFrame) -> DataFrame:
-    """(pii_type, surrogate, n): surrogates that stand for more than one mention; none, unless the map is broken."""
+    """(pii_type, surrogate, n): surrogates of more than one mention, and values of more than one surrogate or the reverse; none, unless the map is broken."""
     distinct = found.select("pii_type", "mention", "surrogate").distinct()
-    return distinct.groupBy("pii_type", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
+    values = found.select("pii_type", "entity", "surrogate_entity").distinct()
+
+    def twice(rows: DataFrame, by: str, shown: F.Column) -> DataFrame:
+        return rows.groupBy("pii_type", by).agg(shown.alias("shown"), F.count("*").alias("n")).where("n > 1").select("pii_type", F.col("shown").alias("surrogate"), "n")
+
+    return (
+        twice(distinct, "surrogate", F.min("surrogate"))
+        .unionAll(twice(values, "surrogate_entity", F.min("surrogate_entity")))
+        .unionAll(twice(values, "entity", F.min("surrogate_entity")))
+    )

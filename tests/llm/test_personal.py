@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from pagewright.llm.personal import collisions, find_mentions, mentions, redact, redacted, surrogate
+from pagewright.llm.personal import canonical, collisions, find_mentions, mentions, redact, redacted, surrogate
 
 CASES = [
     ("Write to priya_x@ferry.north.example.org now. ", [("email", "priya_x@ferry.north.example.org")]),
@@ -47,3 +48,23 @@ def test_rows(spark):
     assert collisions(mentions(df, "id", "text")).count() == 0
     assert {r.id: r.text for r in redacted(df, "id", "text").collect()}["c"] is None
     assert mentions(df.limit(0), "id", "text").count() == 0
+
+
+def test_one_value_written_in_several_ways_has_one_surrogate(spark):
+    def bare(mention, kind):
+        return "".join(filter(str.isalnum, surrogate(mention, kind, b"k").lower()))
+
+    assert bare("+16045550179", "phone") == bare("+1 604 555 0179", "phone") == bare("+1 (604) 555-0179", "phone")
+    assert bare("0044 20 7946 0018", "phone")[2:] == bare("+44 2079460018", "phone") and bare("+49 (0)30 1234567", "phone").replace("490", "49", 1) == bare("+49 30 1234567", "phone")
+    assert surrogate("a.b (at) mail (dot) example", "email", b"k").replace(" (at) ", "@").replace(" (dot) ", ".") == surrogate("a.b@mail.example", "email", b"k")
+    assert bare("CY 966 5171", "id_number") == bare("CY9665171", "id_number")
+    given, family = surrogate("Anna Kolay", "name", b"k").split()
+    assert given.endswith("a") and surrogate("Kolay, Anna", "name", b"k") == f"{family}, {given}"
+    assert surrogate("A. Kolay", "name", b"k") == f"{given[0]}. {family}" and surrogate("ANNA  KOLAY", "name", b"k") == f"{given}  {family}".upper()
+    assert canonical("Anna Kolay", "name") == canonical("Kolay, Anna", "name") != canonical("Kolay Anna", "name")
+    df = spark.createDataFrame([(1, "Ring +16045550179 or +1 604 555 0179. Anna Kolay left, then Kolay, Anna came.")], "id int, text string")
+    found = mentions(df, "id", "text", secret="k")
+    assert found.count() == 4 and found.select("entity").distinct().count() == found.select("surrogate_entity").distinct().count() == 2
+    assert collisions(found).count() == 0
+    broken = found.withColumn("surrogate_entity", F.concat("surrogate_entity", "start_char"))
+    assert collisions(broken).count() == 2
