@@ -114,10 +114,18 @@ _NOT_FAMILY = frozenset(
 )
 
 
+# Words that open clauses and stand capitalised after a given name that ends a line or clause.
+_STOP = frozenset(
+    """A An The This That These Those We I You He She It They Our My His Her Their Its And But Or So Then There Here When Where While What Who Why How If As At In On Of
+    To From For With By After Before Later Now Not No Yes Is Was Were Are Had Has Have Did Do Dr Mr Mrs Ms Tel Email Phone Der Die Das Wir Und Ich Le La Les El Los Las""".split()
+)
+
+
 def _names_in(text: str) -> Iterator[tuple[int, int]]:
     for m in _FULL.finditer(text):
         given, family = m[1], m[2]
-        if (given[-1] == "." or given in _KNOWN) and family not in _NOT_FAMILY and _TYPICAL.search(family):
+        # after a known given name any family name, after initials a typical one
+        if (given[-1] == "." or given in _KNOWN) and family not in _NOT_FAMILY and (_TYPICAL.search(family) or given in _KNOWN and not {family.capitalize()} & (_STOP | _NOT_FAMILY)):
             yield m.start(), m.end(2)
     for m in _TURNED.finditer(text):
         if m[2] in _KNOWN and m[1] not in _KNOWN and m[1] not in _NOT_FAMILY and _TYPICAL.search(m[1]) and not m[1].endswith("ova"):

@@ -68,3 +68,10 @@ def test_one_value_written_in_several_ways_has_one_surrogate(spark):
     assert collisions(found).count() == 0
     broken = found.withColumn("surrogate_entity", F.concat("surrogate_entity", "start_char"))
     assert collisions(broken).count() == 2
+
+
+def test_any_family_name_after_a_known_given_name():
+    for name in ("John Smith", "Anna Brown", "PETER KING", "Paul Simon"):
+        assert [(k, a, b) for a, b, k in find_mentions(f"We met {name} at noon.")] == [("name", 7, 7 + len(name))]
+    for text in ("We met Anna Monday at noon.", "We ate with Anna\nThen it rained.", "They saw Bill Stone.", "ANNA WE", "Anna Street"):
+        assert not find_mentions(text)
