@@ -1,12 +1,14 @@
 """Evaluation passages found in training documents, re-parameterised ones included.
 
-Texts are canonicalised: markup, entities, invisible characters, accents, case
-and punctuation go, and numbers, names and units become typed slots, which
-makes templates of them. Windows of five template words of the items are hashed
-and the documents' windows joined to them. What an item and a document share
-is then chained in order within a passage, word for word between and beside the
-windows, and the slots' fillings are compared: a mapping that sends equal fillings
-to equal ones tells a re-parameterised copy from a chance likeness of templates.
+Both sides are canonicalised alike: markup, entities, wrongly decoded and invisible
+characters, accents, case and punctuation go, and numbers, names and units are typed
+by their shape in their own text, which makes templates. Windows of five words are
+hashed on both sides: the words with one inner word left free, so that single
+replaced words do not matter, and the template, its slots typed. The two tables of
+windows are joined by hash in one pass over the documents, whatever the number of
+items. What a document and an item share is then chained in order within a passage,
+and the slots' fillings are compared: a mapping that sends equal fillings to equal
+ones tells a re-parameterised copy from a chance likeness of templates.
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 WORDS = 5
@@ -27,20 +29,29 @@ SHARE = 0.5
 APART = 120
 #: What each such word costs, in words held: far scattered stock phrases make no passage.
 DISTANCE = 0.05
-#: Items per task closure; more are searched in blocks of this many.
-BLOCK = 5000
+#: Parts that the documents' windows of one hash are spread over.
+SALT = 8
+#: Longs in the filter of the items' windows, at least and at most (32 MB).
+FILTER = 1 << 12, 1 << 22
+#: Distinct words that a task remembers the codes of.
+MEMO = 1 << 20
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);")
-_BREAK = re.compile(r"</?(?:br|p|div|li|td|tr|h\d)\b[^<>]{0,80}>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")
+_BREAK = re.compile(r"</?(?:br|p|div|li|td|tr|h\d)\b[^<>]*>", re.I)
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _HIDDEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿̀-ͯ]")
 _MOJIBAKE = re.compile("(?:[Â-ô][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,3})+")
-_WORD = re.compile(r"[^\W_]+")
+#: Scripts without blanks, of which every character is a word.
+_SINGLE = "぀-ヿ㐀-䶿一-鿿豈-﫿"
+_WORD = re.compile(rf"[{_SINGLE}]|[^\W_{_SINGLE}]+")
 _IN_NUMBER = re.compile(r"(?<=\d)[.:,](?=\d)")
-#: Words after a blank that follows no end of a sentence, those in small Latin letters left out.
-_INNER = re.compile(r" (?<=[^.!?…:] )((?![a-z])[^\W\d_][^\W_]*)")
+#: Capitalised words inside a sentence, with the word before.
+_INNER = re.compile(r"([^\W_]+)[,;'’\"“„«(]{0,2} [\"“„«(]?((?![a-z])[^\W\d_][^\W_]*)")
+#: Before a common noun of a language that capitalises them: articles, endings of adjectives, merged prepositions.
+_NOUN = re.compile(r"(?:e|en|er|es|em|as|ein|kein|mein|sein|im|am|zum|zur|vom|beim|ins|ans)$")
 # Units and currencies that stand beside numbers.
-UNITS = frozenset("km m cm mm kg g l ml min minutes hours days coins euros dollars pounds miles paces steps minuten stunden tage taler minutes heures jours sous monedas minutos horas монет минут вёрст лет".split())
+UNITS = frozenset("km m cm mm kg g l ml min minutes hours days coins euros dollars pounds miles paces steps minuten stunden tage taler heures jours sous monedas minutos horas монет минут вёрст лет".split())
 NUMBER, NAME, UNIT = 1, 2, 3
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _repaired(m: re.Match) -> str:
@@ -61,97 +72,109 @@ def plain(text: str) -> str:
     return _IN_NUMBER.sub("", text)
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(plain(text).lower())
-
-
-class Items:
-    """Canonicalised items with the hashes of their template windows."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        shown = [(key, plain(text)) for key, text in rows]
-        self.keys = [key for key, _ in shown]
-        self.words = [_WORD.findall(text.lower()) for _, text in shown]
-        names = self._names(text for _, text in shown)
-        self.ids: dict[str, int] = {}
-        self.kinds = [0, 0, 0, 0]
-        for row in self.words:
-            for w in row:
-                if w not in self.ids:
-                    self.ids[w] = len(self.kinds)
-                    self.kinds.append(NUMBER if w[0].isdigit() else NAME if w in names else UNIT if w in UNITS else len(self.kinds))
-        self.template = np.array(self.kinds, dtype=np.int64)
-        self.coded = [np.array([self.ids[w] for w in row], dtype=np.int64) for row in self.words]
-        windows = [(window_hashes(self.template[c]), k) for k, c in enumerate(self.coded)]
-        hashes = np.concatenate([h for h, _ in windows]) if windows else np.empty(0, np.uint64)
-        item = np.concatenate([np.full(len(h), k) for h, k in windows]) if windows else np.empty(0, np.int64)
-        place = np.concatenate([np.arange(len(h)) for h, _ in windows]) if windows else np.empty(0, np.int64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.item, self.place = hashes[order], item[order].astype(np.int64), place[order]
-
-    @staticmethod
-    def _names(texts: Iterator[str]) -> set[str]:
-        """Words that never stand in lower case and are capitalised inside a sentence."""
-        high, low = Counter(), set()
-        for text in texts:
-            for m in _WORD.finditer(text):
-                w = m[0]
-                if w[0].islower():
-                    low.add(w)
-                elif w[0].isupper() and m.start() > 1 and text[m.start() - 2] not in ".!?…:" and text[m.start() - 1] == " ":
-                    high[w.lower()] += 1
-        return {w for w in high if w not in low}
-
-
-def new_names(text: str, unseen: set[str]) -> set[str]:
-    """Words of ``unseen`` that are names in the text, by the rule of the items: capitalised inside a sentence, never in lower case."""
-    found = {w.lower() for w in _INNER.findall(text) if w[0].isupper()} & unseen
-    return found.difference(_WORD.findall(text)) if found else found
-
-
-def window_hashes(codes: np.ndarray) -> np.ndarray:
-    """Hashes of all windows of WORDS codes."""
-    n = len(codes) - WORDS + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(WORDS):
-        out = (out ^ codes[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+class Codes(dict):
+    """A word's code: 30 bits of the hash of its lower-case form, and two of its type (names are told by their text)."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        low = word.lower()
+        code = xxhash.xxh32_intdigest(low) & ~3 | (NUMBER if low[0].isdigit() else UNIT if low in UNITS else 0)
+        self[word] = code
+        return code
+
+
+def names_in(text: str, said: set[str]) -> set[str]:
+    """Words, as written, that are names by their shape: capitalised inside a sentence and never in lower case.
+
+    Where capitals are common inside sentences (nouns of German), a word after an
+    article or an adjective is none.
+    """
+    met = [(before, w) for before, w in _INNER.findall(text) if w[0].isupper()]
+    if len(met) > 0.12 * len(text) / 6:
+        met = [(before, w) for before, w in met if not _NOUN.search(before)]
+    found = {w for _, w in met if w.lower() not in said}
+    low = {w.lower() for w in found}
+    return {w for w in said if w.lower() in low} if low else low
+
+
+def coded(text: str, codes: Codes) -> np.ndarray:
+    """The codes of a text's words."""
+    shown = plain(text)
+    words = _WORD.findall(shown)
+    names = names_in(shown, set(words))
+    if names:
+        own = {w: codes[w] & ~3 | NAME for w in names if not codes[w] & 3}
+        return np.fromiter((own.get(w) or codes[w] for w in words), np.int64, len(words))
+    return np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+
+
+def _mixed(parts: list[np.ndarray], seed: int) -> np.ndarray:
+    out = np.full(len(parts[0]), seed, dtype=np.uint64)
+    for p in parts:
+        out = (out ^ p) * _GOLD
         out ^= out >> np.uint64(29)
     return out
 
 
-def chain(item: np.ndarray, doc: np.ndarray, place: np.ndarray, at: np.ndarray, template: np.ndarray, kinds: np.ndarray) -> tuple[float, float, bool]:
+def windows(codes: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the windows: words with one inner word free, templates, and whole runs of the lengths ``short``.
+
+    A template has a slot and at least two words that are none: tables of numbers have no template.
+    """
+    places, hashes = [], []
+    literal = (codes >> 2).astype(np.uint64)
+    n = len(codes) - WORDS + 1
+    if n > 0:
+        at = [literal[k : k + n] for k in range(WORDS)]
+        for free in range(1, WORDS - 1):
+            places.append(np.arange(n))
+            hashes.append(_mixed([a for k, a in enumerate(at) if k != free], free))
+        kind = codes & 3
+        slots = np.add.reduce([(kind[k : k + n] > 0).astype(np.int8) for k in range(WORDS)])
+        typed = np.where(kind > 0, kind, codes).astype(np.uint64)
+        where = np.flatnonzero((slots > 0) & (slots <= WORDS - 2))
+        places.append(where)
+        hashes.append(_mixed([typed[k : k + n][where] for k in range(WORDS)], WORDS))
+    for size in short:
+        n = len(codes) - size + 1
+        if n > 0:
+            places.append(np.arange(n))
+            hashes.append(_mixed([literal[k : k + n] for k in range(size)], 16 + size))
+    if not places:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(places), np.concatenate(hashes).view(np.int64)
+
+
+def chain(item: np.ndarray, hits: list[tuple]) -> tuple[float, float, bool]:
     """(share of the item's words held, share of its template held, slots filled consistently) of the best passage.
 
-    ``place`` and ``at`` are the shared windows' positions in item and document,
-    ``kinds`` the types of the document's words. A slot's fillings are the words of
-    its type; a word of another type is a replaced one and no part of the template.
-    Windows on one diagonal form runs; runs are chained in order, at most APART
-    words of the document apart, and each run is widened over single replaced words.
+    ``hits`` are (place in the item, place in the document, the document's words there)
+    of the shared windows. Windows on one diagonal form runs; runs are chained in
+    order, at most APART words of the document apart. A slot's fillings are the words
+    of its type; a word of another type is a replaced one and no part of the template.
     """
+    doc: dict[int, int] = {}
     runs: list[list[int]] = []  # item start, item end, diagonal
-    order = np.lexsort((place, at - place))
-    for p, d in zip(place[order].tolist(), (at - place)[order].tolist()):
+    n = len(item)
+    for d, p, said in sorted((at - place, place, said) for place, at, said in hits):
         last = runs[-1] if runs else None
-        if last and last[2] == d and p <= last[1] + WORDS:
-            last[1] = p + WORDS
+        size = min(WORDS, n)
+        doc.update(zip(range(p + d, p + d + size), said))
+        if last and last[2] == d and p <= last[1]:
+            last[1] = max(last[1], p + size)
         else:
-            runs.append([p, p + WORDS, d])
-    n, m = len(item), len(doc)
-    for run in runs:  # over single words that differ, as long as most agree
-        a, b, d = run
-        while b < n and b + d < m and (item[b] == doc[b + d] or (b + 2 < n and b + 2 + d < m and item[b + 1] == doc[b + 1 + d] and item[b + 2] == doc[b + 2 + d])):
-            b += 1
-        while a > 0 and a + d > 0 and (item[a - 1] == doc[a - 1 + d] or (a > 2 and a + d > 2 and item[a - 2] == doc[a - 2 + d] and item[a - 3] == doc[a - 3 + d])):
-            a -= 1
-        run[0], run[1] = a, b
+            runs.append([p, p + size, d])
     runs.sort(key=lambda r: (r[0] + r[2], r[0]))
-    same = [item[a:b] == doc[a + d : b + d] for a, b, d in runs]
+    said = [np.array([doc[k + d] for k in range(a, b)], dtype=np.int64) for a, b, d in runs]
+    same = [(item[a:b] >> 2) == (w >> 2) for (a, b, _), w in zip(runs, said)]
     best: list[tuple[float, int, int]] = []  # score, words held, run before
+    far: list[int] = []  # the furthest end in the document of the runs so far
     for k, (a, b, d) in enumerate(runs):
         own, before = int(same[k].sum()), (0.0, 0, -1)
-        for j in range(k):
+        for j in range(k - 1, -1, -1):
+            if far[j] < a + d - APART:
+                break
             ja, jb, jd = runs[j]
             gap = a + d - (jb + jd)
             if ja < a and jb < b and ja + jd < a + d and jb + jd < b + d and gap <= APART:
@@ -160,118 +183,147 @@ def chain(item: np.ndarray, doc: np.ndarray, place: np.ndarray, at: np.ndarray,
                 if score > before[0]:
                     before = (score, best[j][1] - twice, j)
         best.append((own + before[0], own + before[1], before[2]))
+        far.append(max(b + d, far[-1] if far else 0))
     if not best:
         return 0.0, 0.0, False
     k = max(range(len(best)), key=lambda j: best[j][0])
-    held, alike, fillings, clash, seen, left_of = best[k][1], 0, {}, 0, n, m
+    held, alike, fillings, clash, seen, left_of = best[k][1], 0, {}, 0, n, None
     while k >= 0:
         a, b, d = runs[k]
-        b = min(b, seen, left_of - d)
+        b = min(b, seen, b if left_of is None else left_of - d)
         if a < b:
-            left, right, kind = item[a:b], doc[a + d : b + d], template[item[a:b]]
-            fits = kind == kinds[a + d : b + d]
-            alike += int(fits.sum())
-            slots = fits & ((kind == NUMBER) | (kind == NAME))
-            for x, y in zip(left[slots].tolist(), right[slots].tolist()):
+            left, right = item[a:b], said[k][: b - a]
+            kind = left & 3
+            fits = (kind > 0) & (kind == (right & 3))
+            alike += int((fits | same[k][: b - a]).sum())
+            slots = fits & (kind != UNIT)
+            for x, y in zip((left[slots] >> 2).tolist(), (right[slots] >> 2).tolist()):
                 clash += fillings.setdefault(x, y) != y
             seen, left_of = a, a + d
         k = best[k][2]
     return held / n, alike / n, clash == 0
 
 
-def _search(items: Items):
-    ids, template = items.ids, items.template
-    known = {w: items.kinds[k] for w, k in ids.items()}
-    sizes = np.array([len(c) for c in items.coded], dtype=np.int64)
-
-    def of(texts: list[str]) -> list[tuple[int, int, float, float, bool]]:
-        """(text, item, held, template held, slots consistent) of every candidate pair."""
-        coded, typed, owner = [], [], []
-        unseen: dict[str, int] = {}  # words of no item are told apart as well: fillings are compared
-        for k, text in enumerate(texts):
-            if text:
-                shown = plain(text)
-                said = _WORD.findall(shown.lower())
-                if len(said) >= WORDS:
-                    own = {*said}.difference(ids)
-                    names = new_names(shown, own)
-                    for w in own:
-                        unseen.setdefault(w, len(template) + len(unseen))
-                    kinds = dict.fromkeys(own, -1) | dict.fromkeys(own & UNITS, UNIT) | dict.fromkeys(names, NAME) | {w: NUMBER for w in own if w[0].isdigit()}
-                    coded.append(np.array([ids[w] if w in ids else unseen[w] for w in said], dtype=np.int64))
-                    typed.append(np.array([known[w] if w in known else kinds[w] for w in said], dtype=np.int64))
-                    owner.append(k)
-        if not coded or not len(items.hashes):
-            return []
-        lengths = np.array([len(c) + 1 for c in coded])
-        starts = np.cumsum(lengths) - lengths
-        kinds = np.concatenate([np.r_[t, -1] for t in typed])
-        hashes = window_hashes(kinds)
-        whole = np.ones(len(hashes), dtype=bool)
-        for k in range(WORDS):
-            whole &= kinds[k : k + len(hashes)] >= 0
-        at = np.flatnonzero(whole)
-        low = np.searchsorted(items.hashes, hashes[at], side="left")
-        n = np.searchsorted(items.hashes, hashes[at], side="right") - low
-        at, low, n = at[n > 0], low[n > 0], n[n > 0]
-        if not len(at):
-            return []
-        flat = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(at, n)
-        doc = np.searchsorted(starts, at, side="right") - 1
-        pair = doc * len(sizes) + items.item[flat]
-        order = np.argsort(pair, kind="stable")
-        pair, at, place = pair[order], at[order], items.place[flat][order]
-        bounds = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1], True])
-        out = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            k, i = divmod(int(pair[a]), len(sizes))
-            # half of the words with single ones replaced still share a fifth of the windows
-            if (b - a) * 5 < SHARE * sizes[i]:
-                continue
-            held, alike, steady = chain(items.coded[i], coded[k], place[a:b], at[a:b] - starts[k], template, typed[k])
-            out.append((owner[k], i, held, alike, steady))
-        return out
-
-    return of
-
-
-def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, *, share: float = SHARE) -> DataFrame:
+def _windows_of(rows: DataFrame, short: tuple[int, ...], bits: np.ndarray | None) -> DataFrame:
+    """(key, at, h, w0 … w4): the windows of texts that pass the filter, with the words that stand there."""
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            row, place, hashed, said = [], [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                words = coded(text, codes)
+                at, h = windows(words, short)
+                if bits is not None and len(h):
+                    keep = np.ones(len(h), dtype=bool)
+                    for probe in _probes(h, len(bits)):
+                        keep &= (bits[probe >> 6] >> (probe & 63)) & 1 == 1
+                    at, h = at[keep], h[keep]
+                if len(h):
+                    row.append(np.full(len(h), k))
+                    place.append(at)
+                    hashed.append(h)
+                    said.append(np.r_[words, np.full(WORDS, -1)][at[:, None] + np.arange(WORDS)])
+            none = np.empty(0, np.int64)
+            row, place, hashed = (np.concatenate(x) if x else none for x in (row, place, hashed))
+            said = np.concatenate(said) if said else np.empty((0, WORDS), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(hashed), *(pa.array(said[:, k]) for k in range(WORDS))],
+                names=["key", "at", "h", *_SAID],
+            )
+
+    return rows.mapInArrow(run, f"key {kind}, at int, h long, " + ", ".join(f"{w} long" for w in _SAID))
+
+
+_SAID = [f"w{k}" for k in range(WORDS)]
+
+
+def _probes(h: np.ndarray, longs: int) -> list[np.ndarray]:
+    mask = longs * 64 - 1
+    return [h & mask, (h >> 32) & mask]
+
+
+def _filter_of(known: DataFrame, longs: int) -> np.ndarray:
+    """A bit table of the windows' hashes; set bit by bit by Spark, of a fixed size whatever their number."""
+    mask = longs * 64 - 1
+    probe = F.explode(F.array(F.col("h").bitwiseAND(F.lit(mask)), F.shiftright("h", 32).bitwiseAND(F.lit(mask)))).alias("p")
+    rows = known.select(probe).groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b"))
+    table = rows.toArrow()
+    bits = np.zeros(longs, dtype=np.int64)
+    bits[table["i"].to_numpy()] = table["b"].to_numpy()
+    return bits
+
+
+def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, *, share: float = SHARE, salt: int = SALT) -> DataFrame:
     """(key, item_key, held, template_held, slots_consistent): documents holding items as passages.
 
-    ``held`` is the share of the item's words held in its order; a pair comes out
-    if that, or with consistently filled slots the template's share, is at least
-    ``share`` (the caller tells the two apart). The items are a stated query set:
-    they are gathered in blocks of BLOCK, each block one pass over the documents,
-    so what travels with a task is bounded. Null, empty and very short texts give
-    none, repeated rows repeated pairs; other columns are ignored.
+    ``held`` is the share of the item's words that stand, in its order, in windows of
+    five words of which at most one inner word differs; a pair comes out if that, or
+    with consistently filled slots the template's share, is at least ``share`` (the
+    caller tells the two apart). An item under five words is found as a whole. The
+    join is by hash and ``salt``, so a window that a third of all rows hold is spread;
+    what travels with tasks is a filter of at most 32 MB. Null and empty texts give
+    none, repeated rows give one; other columns are ignored; a null key is kept.
     """
     kinds = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"key {kinds[0]}, item {kinds[1]}, held double, template_held double, slots_consistent boolean"
-    rows = items.select(item_key, item_text).where(F.length(item_text) > 0).distinct().orderBy(item_key)
+    asked = items.select(F.col(item_key).alias("key"), F.col(item_text).alias("text")).where(F.length("text") > 0).distinct()
     read = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
-    blocks: list[list[tuple]] = [[]]
-    for row in rows.toLocalIterator():
-        if len(blocks[-1]) == BLOCK:
-            blocks.append([])
-        blocks[-1].append(tuple(row))
-
-    def over(block: list[tuple]) -> DataFrame:
-        known = Items(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            search, item_keys = _search(known), pa.array(known.keys)
-            for batch in batches:
-                found = [f for f in search(batch.column(1).to_pylist()) if f[2] >= share or (f[4] and f[3] >= share)]
-                row, item, held, alike, steady = [*zip(*found)] or [()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row, pa.int64())), item_keys.take(pa.array(item, pa.int64())), pa.array(held, pa.float64()), pa.array(alike, pa.float64()), pa.array(steady, pa.bool_())],
-                    names=["key", "item", "held", "template_held", "slots_consistent"],
-                )
-
-        return read.mapInArrow(run, schema)
-
-    found = over(blocks[0]) if blocks[0] else read.sparkSession.createDataFrame([], schema)
-    for block in blocks[1:]:
-        found = found.unionAll(over(block))
-    return found.withColumnsRenamed({"key": key, "item": item_key})
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            rows = [coded(t, codes) for t in batch.column(1).to_pylist()]
+            sizes = pa.array([len(r) for r in rows], pa.int32())
+            texts = [xxhash.xxh64_intdigest(t.encode()) >> 1 for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.int64()), sizes, pa.array(rows, pa.list_(pa.int64()))], names=["item", "version", "n", "codes"])
+
+    canonical = asked.mapInArrow(code, f"item {kinds[1]}, version long, n int, codes array<long>").where("n > 0")
+    sizes = canonical.agg(F.collect_set(F.when(F.col("n") < WORDS, F.col("n"))).alias("short"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    short = tuple(sorted(sizes.short))  # four lengths at most
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, place, hashed = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for k, words in enumerate(batch.column(2).to_pylist()):
+                at, h = windows(np.array(words, dtype=np.int64), (len(words),) if len(words) < WORDS else ())
+                row.append(np.full(len(h), k))
+                place.append(at)
+                hashed.append(h)
+            index = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(index), batch.column(1).take(index), pa.array(np.concatenate(place).astype(np.int32)), pa.array(np.concatenate(hashed))],
+                names=["item", "version", "place", "h"],
+            )
+
+    known = canonical.select("item", "version", "codes").mapInArrow(cut, f"item {kinds[1]}, version long, place int, h long")
+    longs = FILTER[0]
+    while longs < FILTER[1] and longs < sizes.words:
+        longs *= 2
+    spread = F.pmod(F.xxhash64("key", "at"), F.lit(salt)).cast("int")
+    hits = _windows_of(read, short, _filter_of(known, longs)).withColumn("salt", spread)
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    pairs = (
+        hits.join(known, ["h", "salt"])
+        .groupBy("key", "item", "version")
+        .agg(F.collect_set(F.struct("place", "at", *_SAID)).alias("hits"))
+        .join(canonical.withColumnsRenamed({"item": "its", "version": "own"}), F.equal_null("item", "its") & (F.col("version") == F.col("own")))
+        # no less can cover the share, as a window covers five words
+        .where(F.size(F.array_distinct(F.transform("hits", lambda h: h["place"]))) * WORDS >= F.lit(share) * F.col("n"))
+    )
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [
+                chain(np.array(words, dtype=np.int64), [(h["place"], h["at"], [h[w] for w in _SAID]) for h in hits])
+                for hits, words in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            ]
+            held, alike, steady = [*zip(*said)] or [()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(held, pa.float64()), pa.array(alike, pa.float64()), pa.array(steady, pa.bool_())],
+                names=["key", "item", "held", "template_held", "slots_consistent"],
+            )
+
+    found = pairs.select("key", "item", "hits", "codes").mapInArrow(judge, f"key {kinds[0]}, item {kinds[1]}, held double, template_held double, slots_consistent boolean")
+    kept = found.where((F.col("held") >= share) | (F.col("slots_consistent") & (F.col("template_held") >= share)))
+    return kept.withColumnsRenamed({"key": key, "item": item_key})
