@@ -23,6 +23,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from pagewright.session import spread
+
 WORDS = 5
 SHARE = 0.5
 #: Words of other sentences that may stand between two parts of a passage.
@@ -268,7 +270,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     """
     kinds = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     asked = items.select(F.col(item_key).alias("key"), F.col(item_text).alias("text")).where(F.length("text") > 0).distinct()
-    read = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
+    read = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).where(F.length("text") > 0)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
@@ -300,8 +302,8 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     longs = FILTER[0]
     while longs < FILTER[1] and longs < sizes.words:
         longs *= 2
-    spread = F.pmod(F.xxhash64("key", "at"), F.lit(salt)).cast("int")
-    hits = _windows_of(read, short, _filter_of(known, longs)).withColumn("salt", spread)
+    part = F.pmod(F.xxhash64("key", "at"), F.lit(salt)).cast("int")
+    hits = _windows_of(read, short, _filter_of(known, longs)).withColumn("salt", part)
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     pairs = (
         hits.join(known, ["h", "salt"])

@@ -1,14 +1,27 @@
 import random
+import re
 
-from pagewright.llm.leaks import Items, _search, find_leaks
+from pagewright.llm.leaks import Codes, chain, coded, find_leaks, windows
 
 ITEM = "The grey sailor from Osdolo described his gloomy rail pass under dust. Above the harbour wall, 53 forgotten gulls mended our thermos along a whitewashed weir with wet hands, so Victor's tin clock mocked quince jam twice."
 FILL = "We paid nothing at the ferry and then it rained for days on end. Nobody minded at all in the evening. "
 
 
-def share(doc, items=(ITEM,)):
-    found = _search(Items([*enumerate(items)]))([doc])
-    return max((f[2] for f in found), default=0.0)
+def judged(doc, item):
+    """What chain() says of the windows that two texts share."""
+    codes = Codes()
+    a, b = coded(item, codes), coded(doc, codes)
+    short = (len(a),) if len(a) < 5 else ()
+    known = {}
+    for p, h in zip(*windows(a, short)):
+        known.setdefault(int(h), []).append(int(p))
+    padded = b.tolist() + [-1] * 5
+    hits = {(p, int(at), tuple(padded[at : at + 5])) for at, h in zip(*windows(b, short)) for p in known.get(int(h), [])}
+    return chain(a, [*hits])
+
+
+def share(doc, item=ITEM):
+    return judged(doc, item)[0]
 
 
 def test_alterations_do_not_matter():
@@ -35,18 +48,27 @@ def test_replaced_words_inserted_sentences_and_halves():
     assert share("") == share(FILL) == 0
 
 
-def test_slots():
-    first = Items([(0, ITEM + " We met Victor near Osdolo.")])
-    changed = (ITEM + " We met Victor near Osdolo.").replace("Osdolo", "Bergen").replace("53", "17")
-    found = _search(first)([changed])
-    assert found and found[0][3] >= found[0][2] and found[0][4]
+def test_every_fifth_word_replaced():
+    words = ITEM.split()
+    words[4::5] = ["later"] * len(words[4::5])
+    assert 0.75 < share(FILL + " ".join(words) + " " + FILL) < 0.85
+
+
+def test_short_items_and_scripts_without_blanks():
+    assert share("We saw the blue heron today.", "blue heron") == 1.0 and share("We saw the heron", "blue heron") == 0
+    han = "我们在山谷里走了很久。"
+    assert share("昨天" + han + "然后下雨了", han) == 1.0 and share("昨天下雨了我们在家", han) < 0.5
+
+
+def test_long_tags_and_accents():
+    assert share(ITEM.replace(" gloomy", " <i class='" + "x" * 200 + "'>gloomy</i>")) > 0.95
 
 
 def test_rows(spark):
-    items = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, None), (3, "too short")], "item_id bigint, text string")
+    items = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, None), (3, "too short to be found in all of this")], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, FILL + ITEM, 0), (1, FILL + ITEM, 0), (2, "", 0), (3, None, 0), (4, FILL * 500, 0)], "doc_id bigint, text string, item_id bigint")
     rows = find_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()
-    assert [(r.doc_id, r.item_id) for r in rows] == [(1, 1)] * 2
+    assert [(r.doc_id, r.item_id) for r in rows] == [(1, 1)]
     assert find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
     assert find_leaks(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
 
@@ -54,18 +76,28 @@ def test_rows(spark):
 SLOTTED = "On the road to Osdolo old Victor paid 53 coins for a lamp, and the baker said that Victor had walked 12 miles from Osdolo with 53 coins in a tin."
 
 
-def found(doc):
-    rows = _search(Items([(0, SLOTTED)]))([doc])
-    return [(f[3], f[4]) for f in rows if f[2] >= 0.5 or (f[4] and f[3] >= 0.5)]
-
-
 def test_new_names_numbers_and_units_fill_slots():
-    changed = SLOTTED.replace("Osdolo", "Bergen").replace("Victor", "Henrik").replace("53", "71").replace("12", "9041").replace("miles", "vorst")
-    assert found(FILL + changed.replace("vorst", "km") + FILL) == [(1.0, True)]
-    assert found(FILL + changed + FILL)[0][0] > 0.9
-    rows = _search(Items([(0, SLOTTED)]))
-    held = rows([changed.replace("vorst", "km")])[0]
-    assert held[3] == 1.0 and held[2] < 0.8
+    changed = SLOTTED.replace("Osdolo", "Bergen").replace("Victor", "Henrik").replace("53", "71").replace("12", "9041").replace("miles", "km")
+    held, alike, steady = judged(FILL + changed + FILL, SLOTTED)
+    assert held < 0.8 and alike > 0.9 and steady
     # one slot filled by two new numbers, or two new names
-    assert not rows([changed.replace("71 coins in", "88 coins in")])[0][4]
-    assert not rows([changed.replace("that Henrik", "that Stefan")])[0][4]
+    assert not judged(changed.replace("71 coins in", "88 coins in"), SLOTTED)[2]
+    assert not judged(changed.replace("that Henrik", "that Stefan"), SLOTTED)[2]
+
+
+def test_template_alone_is_found_and_a_clash_refused(spark):
+    item = "On Monday Victor gave 53 coins to Clara of Osdolo, then Anna sold 12 lamps to Victor near Osdolo and 53 bags to Elif."
+    turned = {"Monday": "Friday", "Victor": "Henrik", "Clara": "Marta", "Anna": "Petra", "Elif": "Boris", "Osdolo": "Bergen", "53": "7", "12": "64"}
+    new = re.sub(r"\w+", lambda m: turned.get(m[0], m[0]), item)
+    clash = new.replace("to Henrik near Bergen and 7", "to Stefan near Cadiz and 8")
+    docs = spark.createDataFrame([(1, FILL + new + FILL), (2, FILL + clash + FILL)], "doc_id bigint, text string")
+    rows = find_leaks(docs, "doc_id", "text", spark.createDataFrame([(7, item)], "item_id bigint, text string"), "item_id", "text").collect()
+    assert [(r.doc_id, r.held < 0.5, r.template_held > 0.6) for r in rows] == [(1, True, True)]
+
+
+def test_hot_windows_and_many_items(spark):
+    # one stock phrase that all texts share, items that differ in one word each
+    items = spark.createDataFrame([(k, f"{FILL} word{k} {ITEM}") for k in range(40)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, FILL) for k in range(200)] + [(900, ITEM)], "doc_id bigint, text string")
+    rows = find_leaks(docs, "doc_id", "text", items, "item_id", "text", salt=3).collect()
+    assert {r.item_id for r in rows if r.doc_id == 900} == set(range(40))
