@@ -3,7 +3,7 @@
 Both sides are canonicalised alike: markup, entities, wrongly decoded and invisible
 characters, accents, case and punctuation go, and numbers, names and units are typed
 by their shape in their own text, which makes templates. Windows of five words are
-hashed on both sides: the words with one inner word left free, so that single
+hashed on both sides: the words with the middle one left free, so that single
 replaced words do not matter, and the template, its slots typed. The two tables of
 windows are joined by hash in one pass over the documents, whatever the number of
 items. What a document and an item share is then chained in order within a passage,
@@ -32,7 +32,7 @@ APART = 120
 #: What each such word costs, in words held: far scattered stock phrases make no passage.
 DISTANCE = 0.05
 #: Parts that the documents' windows of one hash are spread over.
-SALT = 8
+SALT = 4
 #: Longs in the filter of the items' windows, at least and at most (32 MB).
 FILTER = 1 << 12, 1 << 22
 #: Distinct words that a task remembers the codes of.
@@ -46,8 +46,9 @@ _MOJIBAKE = re.compile("(?:[Â-ô][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ
 _SINGLE = "぀-ヿ㐀-䶿一-鿿豈-﫿"
 _WORD = re.compile(rf"[{_SINGLE}]|[^\W_{_SINGLE}]+")
 _IN_NUMBER = re.compile(r"(?<=\d)[.:,](?=\d)")
-#: Capitalised words inside a sentence, with the word before.
-_INNER = re.compile(r"([^\W_]+)[,;'’\"“„«(]{0,2} [\"“„«(]?((?![a-z])[^\W\d_][^\W_]*)")
+#: Words inside a sentence that are not in small Latin letters; the same with the word before.
+_INNER = re.compile(r" (?<=[\w,;'’] )[\"“„«(]?((?![a-z])[^\W\d_][^\W_]*)")
+_AFTER = re.compile(r"([^\W_]+)[,;'’]? [\"“„«(]?((?![a-z])[^\W\d_][^\W_]*)")
 #: Before a common noun of a language that capitalises them: articles, endings of adjectives, merged prepositions.
 _NOUN = re.compile(r"(?:e|en|er|es|em|as|ein|kein|mein|sein|im|am|zum|zur|vom|beim|ins|ans)$")
 # Units and currencies that stand beside numbers.
@@ -92,12 +93,11 @@ def names_in(text: str, said: set[str]) -> set[str]:
     Where capitals are common inside sentences (nouns of German), a word after an
     article or an adjective is none.
     """
-    met = [(before, w) for before, w in _INNER.findall(text) if w[0].isupper()]
-    if len(met) > 0.12 * len(text) / 6:
-        met = [(before, w) for before, w in met if not _NOUN.search(before)]
-    found = {w for _, w in met if w.lower() not in said}
-    low = {w.lower() for w in found}
-    return {w for w in said if w.lower() in low} if low else low
+    met = [w for w in _INNER.findall(text) if w[0].isupper()]
+    if len(met) > 0.02 * len(text):
+        met = [w for before, w in _AFTER.findall(text) if w[0].isupper() and not _NOUN.search(before)]
+    found = {low for w in met if (low := w.lower()) not in said}
+    return {w for w in said if w.lower() in found} if found else found
 
 
 def coded(text: str, codes: Codes) -> np.ndarray:
@@ -105,10 +105,11 @@ def coded(text: str, codes: Codes) -> np.ndarray:
     shown = plain(text)
     words = _WORD.findall(shown)
     names = names_in(shown, set(words))
+    out = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
     if names:
-        own = {w: codes[w] & ~3 | NAME for w in names if not codes[w] & 3}
-        return np.fromiter((own.get(w) or codes[w] for w in words), np.int64, len(words))
-    return np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+        at = [k for k, w in enumerate(words) if w in names]
+        out[at] |= np.where(out[at] & 3, 0, NAME)
+    return out
 
 
 def _mixed(parts: list[np.ndarray], seed: int) -> np.ndarray:
@@ -120,7 +121,7 @@ def _mixed(parts: list[np.ndarray], seed: int) -> np.ndarray:
 
 
 def windows(codes: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the windows: words with one inner word free, templates, and whole runs of the lengths ``short``.
+    """(place, hash) of the windows: words with the middle one free, templates, and whole runs of the lengths ``short``.
 
     A template has a slot and at least two words that are none: tables of numbers have no template.
     """
@@ -129,9 +130,8 @@ def windows(codes: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray,
     n = len(codes) - WORDS + 1
     if n > 0:
         at = [literal[k : k + n] for k in range(WORDS)]
-        for free in range(1, WORDS - 1):
-            places.append(np.arange(n))
-            hashes.append(_mixed([a for k, a in enumerate(at) if k != free], free))
+        places.append(np.arange(n))
+        hashes.append(_mixed([a for k, a in enumerate(at) if k != WORDS // 2], 1))
         kind = codes & 3
         slots = np.add.reduce([(kind[k : k + n] > 0).astype(np.int8) for k in range(WORDS)])
         typed = np.where(kind > 0, kind, codes).astype(np.uint64)
@@ -261,7 +261,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     """(key, item_key, held, template_held, slots_consistent): documents holding items as passages.
 
     ``held`` is the share of the item's words that stand, in its order, in windows of
-    five words of which at most one inner word differs; a pair comes out if that, or
+    five words of which at most the middle one differs; a pair comes out if that, or
     with consistently filled slots the template's share, is at least ``share`` (the
     caller tells the two apart). An item under five words is found as a whole. The
     join is by hash and ``salt``, so a window that a third of all rows hold is spread;
