@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewright.session import spread
 
@@ -238,6 +238,12 @@ def _windows_of(rows: DataFrame, short: tuple[int, ...], bits: np.ndarray | None
     return rows.mapInArrow(run, f"key {kind}, at int, h long, " + ", ".join(f"{w} long" for w in _SAID))
 
 
+def _covered(places: Column) -> Column:
+    """Words that windows at these sorted places cover."""
+    steps = F.zip_with(F.slice(places, 2, F.size(places)), F.slice(places, 1, F.size(places) - 1), lambda b, a: F.least(b - a, F.lit(WORDS)))
+    return F.aggregate(steps, F.lit(WORDS), lambda n, step: n + step)
+
+
 _SAID = [f"w{k}" for k in range(WORDS)]
 
 
@@ -310,8 +316,9 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
         .groupBy("key", "item", "version")
         .agg(F.collect_set(F.struct("place", "at", *_SAID)).alias("hits"))
         .join(canonical.withColumnsRenamed({"item": "its", "version": "own"}), F.equal_null("item", "its") & (F.col("version") == F.col("own")))
-        # no less can cover the share, as a window covers five words
-        .where(F.size(F.array_distinct(F.transform("hits", lambda h: h["place"]))) * WORDS >= F.lit(share) * F.col("n"))
+        # no more of the item than its windows cover can be held
+        .withColumn("places", F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["place"]))))
+        .where(_covered(F.col("places")) >= F.lit(share) * F.col("n"))
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
