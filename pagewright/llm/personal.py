@@ -1,55 +1,32 @@
 """Personal information in free text: mentions, and typed placeholders holding surrogates.
 
 Mail addresses, phone and identity numbers, street addresses and full names are
-found by patterns, overlaps settled in that order of types. A mention becomes a
-placeholder of its type around a keyed surrogate, such as ``[NAME Keldo Ravumen]``.
-
-The surrogate is a keyed permutation of characters, each one's permutation
-depending on what stands before it in the canonical value: digits of a number,
-an address without obfuscation, each part of a name by itself. Blanks, punctuation
-and the order of a name's parts are those of the mention, so one value written in
-several ways has one surrogate written in these ways, and an initial is that of
-the given name's surrogate. Digits stay digits, vowels vowels and consonants
-consonants of their script, case stays, and the last letter of a given name
-stays, which carries its gender. Such a map is one to one by construction, in
-every row and without a shared table; ``collisions`` checks it.
+found, overlaps settled in that order of types. Names are told by listed given or
+family names, by initials and endings, and by what stands beside them: a title, a
+verb of speech, a verb of meeting. Identity numbers are told by the words before
+them or by their check digits. A mention becomes a placeholder of its type around
+a keyed surrogate (``surrogates``), such as ``[NAME Petra Ravumen]``; ``collisions``
+checks over all rows that distinct values kept distinct surrogates, and one each.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
-import hmac
+import os
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from pagewright.llm.surrogates import FAMILY, GIVEN, PARTICLES, canonical, surrogate
+from pagewright.session import spread
 
 TYPES = ("email", "id_number", "phone", "address", "name")
 
-# Common given names, in Latin and Cyrillic script.
-GIVEN = """
-Adam Adrian Agnes Ahmed Alan Albert Alexander Alfred Ali Alice Amara Amelia Amir Amy Ana Andrea Andreas Andrew Anna Anne
-Anton Antonio Arthur Astrid Aylin Barbara Ben Benjamin Bernard Boris Brigitte Bruno Camille Carla Carlos Carmen Caroline
-Catherine Cecilia Charles Charlotte Chiara Chloe Christian Christine Claire Clara Claudia Daniel Daniela David Denis Diana
-Diego Dmitri Dora Edith Edward Elena Elias Elif Elisabeth Elise Elizabeth Ella Emil Emilia Emily Emma Eric Erik Esther Eva
-Evelyn Fatima Felix Fernando Fiona Florian Frances Francesca Francis Frank Franz Frederik Gabriel Georg George Gerda
-Giulia Grace Greta Hana Hannah Hans Harriet Hassan Heinrich Helen Helena Henrik Henry Hiroshi Hugo Ibrahim Ida Igor Ines
-Ingrid Irene Iris Isabel Ivan Jack Jacob James Jan Jana Jane Javier Jean Joan Johan Johannes John Jonas Jorge Jose Josef
-Joseph Juan Julia Julian Karin Karl Katarina Kenji Klaus Lars Laura Lea Leila Lena Leo Leon Lina Linda Lisa Louis Louise
-Lucas Lucia Luis Luisa Luka Lydia Magnus Marco Marcus Margaret Maria Marie Marina Mario Mark Markus Marta Martha Martin
-Mary Mateo Matilda Matteo Max Maya Mehmet Mia Michael Michel Miguel Mila Milan Miriam Mohammed Monica Nadia Natalia Nathan
-Nicolas Nikita Nina Noah Nora Olaf Olga Oliver Olivia Omar Oscar Otto Pablo Patrick Paul Paula Pavel Pedro Peter Petra
-Philip Pierre Priya Rachel Raj Ralph Rebecca Richard Rita Robert Roberto Rosa Ruth Samir Samuel Sandra Sara Sarah Sebastian
-Sergei Silvia Simon Sofia Sophia Sophie Stefan Stella Stephen Susan Sven Tariq Teresa Theo Theresa Thomas Tim Tomas Ulrike
-Ursula Valentina Vera Victor Viktor Vincent Vladimir Walter Werner William Wolfgang Yara Yasmin Yuki Yusuf Zoe
-Алексей Алина Анастасия Андрей Анна Борис Вера Виктор Владимир Дарья Дмитрий Екатерина Елена Иван Игорь Ирина Ксения
-Лев Людмила Мария Михаил Надежда Наталья Никита Николай Олег Ольга Павел Пётр Светлана Сергей София Татьяна Фёдор Юлия
-""".split()
-# Endings of family names, and particles before them.
+# Endings of family names.
 ENDINGS = "aro ay berger eira ek enko er ez idze ides ini ian ić ivić lund mann oglu or ov ova quist sen ska ski sky son ssen stein wick yan".split()
-PARTICLES = "van der|van den|von der|de la|de los|van|von|der|de|del|della|da|di|du|al|el|bin|ibn|ben|ter|zu|zum|le|la"
 STREETS = "Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Terrace|Square|Sq|Close|Row|Drive|Dr|Court|Crescent|Gardens|Place|Hill|Quay|Walk|Way|Boulevard|Blvd"
 NOT_STREETS = "the|a|an|old|of|this|that|our|my|his|her|their|long|narrow|main|no|another|one|every|each|same|next|last|first|whole|empty|and|or|by|on|in|at|to|from|per|for"
 
@@ -59,7 +36,6 @@ _S = r"(?:[^\S\n]+\n?[^\S\n]*|\n[^\S\n]*)"  # blanks with at most one line break
 _CAP = rf"[{_U}](?:{_L}|['’])*"
 
 _AT = re.compile(rf"@|[(\[](?:at|AT)[)\]]")
-_LOCAL = re.compile(r"[\w.+\-]+[^\S\n]?\n?$")
 _DOMAIN = re.compile(rf"{_S}?[\w\-]+(?:(?:\.|{_S}?[(\[](?:dot|DOT)[)\]]{_S}?)[\w\-]+)+")
 
 _KEYWORD = (
@@ -72,7 +48,9 @@ _IDNUM = (
 )
 ID_NUMBER = re.compile(rf"\b(?i:{_KEYWORD})(?:(?:\s*[,:#]|\s+(?i:no\.?|number|nr\.?|was|is|card))+\s*|\s+)({_IDNUM})(?![\w])")
 
-#: One of these stands in every text with an identity number.
+#: Numbers of a form, told without words before them if their check digits hold.
+_CHECKED = re.compile(r"(?<![\w\-/.])(?:(\d{8})-?([A-HJ-NP-TV-Z])|([XYZ])(\d{7})-?([A-HJ-NP-TV-Z])|(\d{6})[\-+](\d{4})|(\d{11}))(?![\w]|[\-/.]\w)")
+#: One of these stands in every text with an identity number told by words.
 _ID_HINTS = ("pass", "ssn", "security", "insurance", "identity", "personal", "id ", "id\n", "tax", "dni", "nie", "nif", "nino", "pesel", "licen", "ausweis")
 
 _SEP = rf"(?:[ .\-/\xa0]|\n)"
@@ -82,7 +60,7 @@ PHONE = re.compile(
     rf"|0\d{{1,4}}(?:{_SEP}?\d){{6,9}}"
     rf"|[2-9]\d{{2}}(?:\.\d{{3}}\.|-\d{{3}}-|[ \n]\d{{3}}[ \n\-])\d{{4}})(?![\w]|[\-/.:]\w)"
 )
-_DIGITS = re.compile(r"[+(]?\d[\d ().\-/\n\xa0]{6,20}\d")
+_DIGITS = re.compile(r"[+(]?\d[\d ().\-/\n\xa0]{6,}\d")
 _NOT_PHONE = re.compile(r"(?i)(?:isbn|issn|serial|ref\.?|booking|ticket|order|invoice|no\.)[\s:#]*$")
 
 _NO = r"\d{1,4}(?:[ ]?[A-Da-d](?![^\W\d_]))?"
@@ -121,48 +99,137 @@ _STOP = frozenset(
 )
 
 
+# Titles before full names, verbs that only people are the subject or the object of.
+TITLES = frozenset("dr prof professor doctor mr mrs ms miss mx sir lady captain nurse herr frau señor señora sr sra don doña monsieur madame mme mlle signor signora господин госпожа доктор".split())
+SPEECH = frozenset("said says asked asks told wrote writes replied answered phoned rang called laughed shouted whispered promised sagte fragte schrieb rief antwortete dit demanda écrivit répondit dijo preguntó escribió respondió сказал сказала спросил спросила ответил ответила".split())
+MEETING = frozenset("met thanked asked told invited visited phoned rang married signed named traf fragte dankte rencontra remercia conoció saludó встретил встретила".split())
+# Words that open names of places.
+PLACES = frozenset("Port Cape Lake Mount Fort Saint St Upper Lower New Old North South East West Great Little Glass Grand Hotel Café Cafe Bay Isle River Castle Villa San Santa Los Las El La Le".split())
+# Family names in ideographs; those of one character need a title behind.
+HAN = "佐藤 鈴木 高橋 田中 伊藤 渡辺 山本 中村 小林 加藤 吉田 山田 佐々木 山口 松本 井上 木村 斎藤 清水 欧阳 司马 诸葛 上官".split()
+HAN_SHORT = "王李张劉刘陈陳杨楊赵趙黄周吴徐孙胡朱高林何郭马罗"
+HAN_TITLES = "先生|女士|小姐|老师|さん|様|氏|くん|ちゃん"
+_HAN_NAME = re.compile(
+    rf"(?:(?:{'|'.join(HAN)})[一-鿿]{{1,2}}(?=(?:{HAN_TITLES})|[^一-鿿]|$)"
+    rf"|[{HAN_SHORT}][一-鿿]{{1,2}}?(?={HAN_TITLES}))"
+)
+_HAS_HAN = re.compile("[一-鿿]")
+_NEXT_WORD = re.compile(r"[\s,\"”’]*([^\W\d_]+)")
+_FAMILIES = frozenset(FAMILY) | {n.upper() for n in FAMILY}
+
+
+def _stands_as_name(text: str, start: int, end: int) -> bool:
+    """Whether a title or verb beside two capitalised words tells of a person."""
+    before = text[slice(*_word_before(text, start))].strip().rstrip(".").lower()
+    if before in TITLES or before in MEETING:
+        return True
+    after = _NEXT_WORD.match(text, end)
+    return after is not None and after[1] in SPEECH
+
+
+# Words that open sentences before a family name without being a given name.
+_KNOWN_OPENERS = frozenset("Dear Young Poor Uncle Aunt Cousin Today Yesterday Tomorrow Perhaps Maybe Only Even Both Meanwhile Finally Every Another Some Any Most Once Twice".split())
+
+
 def _names_in(text: str) -> Iterator[tuple[int, int]]:
     for m in _FULL.finditer(text):
         given, family = m[1], m[2]
-        # after a known given name any family name, after initials a typical one
-        if (given[-1] == "." or given in _KNOWN) and family not in _NOT_FAMILY and (_TYPICAL.search(family) or given in _KNOWN and not {family.capitalize()} & (_STOP | _NOT_FAMILY)):
+        if family in _NOT_FAMILY:
+            continue
+        known = given in _KNOWN
+        if known or given[-1] == ".":
+            # after a known given name any family name, after initials a typical or listed one
+            fine = _TYPICAL.search(family) or (known and family.capitalize() not in _STOP and family.capitalize() not in _NOT_FAMILY) or family in _FAMILIES
+        else:
+            fine = given not in PLACES and given not in _STOP and given not in _NOT_FAMILY and family.capitalize() not in _STOP and (
+                (family in _FAMILIES and given.capitalize() not in _KNOWN_OPENERS) or _stands_as_name(text, m.start(), m.end(2))
+            ) and given.lower() not in TITLES
+        if fine:
             yield m.start(), m.end(2)
     for m in _TURNED.finditer(text):
-        if m[2] in _KNOWN and m[1] not in _KNOWN and m[1] not in _NOT_FAMILY and _TYPICAL.search(m[1]) and not m[1].endswith("ova"):
-            if not _PLACE.search(text, max(0, m.start() - 12), m.start()):
+        if m[2] in _KNOWN and m[1] not in _KNOWN and m[1] not in _NOT_FAMILY and (_TYPICAL.search(m[1]) or m[1] in _FAMILIES) and not m[1].endswith("ova"):
+            if not _PLACE.search(text, *_word_before(text, m.start())):
                 yield m.start(), m.end(2)
     if not _KNOWN_LOWER.isdisjoint(text.split()):
         for m in _lower.finditer(text):
             yield m.span()
+    if not text.isascii() and _HAS_HAN.search(text):
+        for m in _HAN_NAME.finditer(text):
+            yield m.span()
+
+
+def _local_part(text: str, end: int) -> int:
+    """Where the mailbox before an @ begins, with at most a blank and a line break between; ``end`` if there is none."""
+    at = end
+    if at and text[at - 1] == "\n":
+        at -= 1
+    if at and text[at - 1].isspace() and text[at - 1] != "\n":
+        at -= 1
+    last = at
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_.+-"):
+        at -= 1
+    return at if at < last else end
 
 
 def _mails_in(text: str) -> Iterator[tuple[int, int]]:
     for m in _AT.finditer(text):
-        before = _LOCAL.search(text, max(0, m.start() - 70), m.start())
-        after = before and _DOMAIN.match(text, m.end())
+        start = _local_part(text, m.start())
+        after = start < m.start() and _DOMAIN.match(text, m.end())
         if after:
-            yield before.start(), after.end()
+            yield start, after.end()
 
 
 def _phones_in(text: str) -> Iterator[tuple[int, int]]:
     for run in _DIGITS.finditer(text):
-        m = PHONE.match(text, run.start())
-        if m and 9 <= sum(map(str.isdigit, m[0])) <= 15 and not _NOT_PHONE.search(text, max(0, m.start() - 14), m.start()):
-            yield m.span()
+        at = run.start()
+        while at < run.end():
+            m = PHONE.search(text, at, min(run.end() + 3, len(text)))
+            if not m:
+                break
+            at = m.end()
+            if 9 <= sum(map(str.isdigit, m[0])) <= 15 and not _NOT_PHONE.search(text, *_word_before(text, m.start())):
+                yield m.span()
+
+
+def _word_before(text: str, at: int) -> tuple[int, int]:
+    """The span of the word before a place, over blanks, colons and number signs, and of those."""
+    k = at
+    while k and (text[k - 1].isspace() or text[k - 1] in ":#"):
+        k -= 1
+    while k and (text[k - 1].isalnum() or text[k - 1] == "."):
+        k -= 1
+    return k, at
 
 
 def _addresses_in(text: str) -> Iterator[tuple[int, int]]:
+    low = 0  # a street's words hold no number, so each is looked for behind the number before
     for m in _NUMBER.finditer(text):
         a, b = m.span()
         after = _AFTER_NUMBER.match(text, b)
         if after:
             yield a, after.end()
-            continue
-        if a and text[a - 1].isspace():
-            low = max(0, a - 60)
-            before = _BEFORE_NUMBER.search(text[low:a])
+        elif a and text[a - 1].isspace():
+            before = _BEFORE_NUMBER.search(text, low, a)
             if before:
-                yield low + before.start(), b
+                yield before.start(), b
+        low = b
+
+
+def _checked_numbers(text: str) -> Iterator[tuple[int, int]]:
+    """Identity numbers of Spain, Sweden and Poland by their check digits."""
+    for m in _CHECKED.finditer(text):
+        dni, dni_letter, nie, nie_digits, nie_letter, born, rest, pesel = m.groups()
+        if dni or nie:
+            number = int(dni) if dni else int("XYZ".index(nie) * 10**7 + int(nie_digits))
+            good = "TRWAGMYFPDXBNJZSQVHLCKE"[number % 23] == (dni_letter or nie_letter)
+        elif born:
+            doubled = [int(c) * (2 - k % 2) for k, c in enumerate(born + rest)]
+            good = "01" <= born[2:4] <= "12" and "01" <= born[4:] <= "31" and sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+        else:
+            weights = (1, 3, 7, 9, 1, 3, 7, 9, 1, 3, 1)
+            good = int(pesel[2:4]) % 20 in range(1, 13) and "01" <= pesel[4:6] <= "31" and sum(w * int(c) for w, c in zip(weights, pesel)) % 10 == 0
+        if good:
+            yield m.span()
 
 
 def find_mentions(text: str) -> list[tuple[int, int, str]]:
@@ -178,6 +245,7 @@ def find_mentions(text: str) -> list[tuple[int, int, str]]:
     plain = text.lower()
     if any(hint in plain for hint in _ID_HINTS):
         add((m.span(1) for m in ID_NUMBER.finditer(text)), "id_number")
+    add(_checked_numbers(text), "id_number")
     add(_phones_in(text), "phone")
     add(_addresses_in(text), "address")
     add(_names_in(text), "name")
@@ -185,91 +253,17 @@ def find_mentions(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-_ALPHABETS = [
-    "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρσφχψ", "áéíóú", "äöüåø",
-]
-_CLASS = {c: alphabet for alphabet in _ALPHABETS for c in alphabet}
-
-
-@functools.lru_cache(1 << 16)
-def _shuffled(key: bytes, before: str, alphabet: str) -> str:
-    seed = hmac.new(key, (alphabet + "\0" + before).encode(), hashlib.sha256).digest()
-    return "".join(sorted(alphabet, key=lambda c: hashlib.blake2b(c.encode(), key=seed, digest_size=8).digest()))
-
-
-_OBFUSCATED = re.compile(r"[(\[](at|dot)[)\]]", re.I)
-_INTERNATIONAL = re.compile(r"\+|00")
-#: The trunk zero that is not dialled after a country's prefix.
-_TRUNK = re.compile(r"\(0\)")
-_PART = re.compile(r"[^\s.,]+")
-
-
-def _said(mention: str, kind: str) -> Iterator[tuple[int, str, str, bool]]:
-    """(place in the mention, part of the value, canonical character, whether it stays) of what makes up the value."""
-    plain = [c.lower() for c in mention]
-    plain = [c if len(c) == 1 else shown for c, shown in zip(plain, mention)]
-    if kind == "name":
-        parts = [*_PART.finditer(mention)]
-        comma = mention.find(",")
-        families = [m for m in parts if m.end() <= comma] if comma >= 0 else parts[-1:]
-        first = True
-        for m in parts:
-            letters = [k for k in range(*m.span()) if plain[k].isalnum()]
-            small = m[0].islower() and m is not parts[0] and m not in families
-            what = "family" if m in families else "particle" if small else "given"
-            full = what == "given" and first and len(letters) > 1
-            first = first and not full
-            for k in letters:
-                yield k, what + str(m.start() if what == "family" and len(families) > 1 else ""), plain[k], full and k == letters[-1]
-        return
-    skip: set[int] = set()
-    if kind == "phone":
-        prefix = _INTERNATIONAL.match(mention)
-        part = "+" if prefix else ""
-        if prefix:
-            skip.update(range(prefix.end()))
-            for m in _TRUNK.finditer(mention):
-                skip.update(range(*m.span()))
-        digits = [k for k, c in enumerate(plain) if c.isdigit() and k not in skip]
-        keep = 0 if not prefix else 1 if plain[digits[0]] in "17" else 2
-        for n, k in enumerate(digits):
-            yield k, part, plain[k], n < keep
-        return
-    if kind == "email":
-        for m in _OBFUSCATED.finditer(mention):
-            skip.update(range(*m.span()))
-            plain[m.start()] = "@" if m[1].lower() == "at" else "."
-            skip.discard(m.start())
-    for k, c in enumerate(plain):
-        if k not in skip and (c.isalnum() or kind == "email" and not c.isspace()):
-            yield k, "", c, False
-
-
-def canonical(mention: str, kind: str, other: str = "") -> str:
-    """The value that a mention, or its surrogate ``other``, writes: equal for all its ways of being written, name parts in one order."""
-    parts: dict[tuple[str, int], str] = {}
-    at, last = 0, (-2, "")
-    for k, part, c, _ in _said(mention, kind):
-        if kind == "name" and (k != last[0] + 1 and not set(mention[last[0] + 1 : k]) <= set("-'’") or part != last[1]):
-            at = k
-        parts[part, at] = parts.get((part, at), "") + (other[k].lower() if other and c.isalnum() else c)
-        last = k, part
-    return " ".join(f"{part} {said}".strip() for (part, _), said in sorted(parts.items()))
-
-
-def surrogate(mention: str, kind: str, key: bytes) -> str:
-    """The mention with every letter and digit of its value replaced within its class; one to one for each key and type."""
-    out, before, last = [*mention], "", (-2, "")
-    for k, part, c, stays in _said(mention, kind):
-        if kind == "name" and (part != last[1] or not set(mention[last[0] + 1 : k]) <= set("-'’")):
-            before = ""
-        alphabet = _CLASS.get(c)
-        if alphabet is not None and not stays:
-            new = _shuffled(key, kind + part + "\0" + before, alphabet)[alphabet.index(c)]
-            out[k] = new.upper() if mention[k] != c else new
-        before += c
-        last = k, part
-    return "".join(out)
+@functools.cache
+def _own_secret() -> str:
+    return secrets.token_hex(32)
+
+
+def secret_of(spark: SparkSession) -> str:
+    """The key of surrogates: the session's pagewright.secret, else PAGEWRIGHT_SECRET, else one drawn for this process.
+
+    Surrogates are the same in every run only with a key that is set.
+    """
+    return spark.conf.get("pagewright.secret", None) or os.environ.get("PAGEWRIGHT_SECRET") or _own_secret()
 
 
 def redact(text: str, key: bytes) -> str:
@@ -297,14 +291,14 @@ def mentions(df: DataFrame, key: str, text: str, *, secret: str = "") -> DataFra
                 for a, b, what in find_mentions(value):
                     said = value[a:b]
                     other = surrogate(said, what, secret.encode())
-                    rows.append((row, what, a, b, said, "".join(filter(str.isalnum, said.lower())), other, canonical(said, what), canonical(said, what, other)))
+                    rows.append((row, what, a, b, said, "".join(filter(str.isalnum, said.lower())), other, canonical(said, what), canonical(other, what)))
             columns = [*zip(*rows)] or [()] * 9
             types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(arrays[0]), *arrays[1:]], names=[f"c{k}" for k in range(9)])
 
     return (
-        df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
         .where(F.length("text") > 0)
         .mapInArrow(run, f"key {kind}, pii_type string, start_char int, end_char int, mention string, value string, surrogate string, entity string, surrogate_entity string")
         .withColumnRenamed("key", key)
@@ -328,15 +322,14 @@ def redacted(df: DataFrame, key: str, text: str, *, secret: str = "") -> DataFra
 
 
 def collisions(found: DataFrame) -> DataFrame:
-    """(pii_type, surrogate, n): surrogates of more than one mention, and values of more than one surrogate or the reverse; none, unless the map is broken."""
-    distinct = found.select("pii_type", "mention", "surrogate").distinct()
+    """(pii_type, surrogate, n): surrogates that two or more values share, and values that have two or more surrogates.
+
+    Each letter's cycle is one to one, so two values meet only where the letters made for
+    one spell a listed name or a second name set behind; this tells whether it happened.
+    """
     values = found.select("pii_type", "entity", "surrogate_entity").distinct()
 
-    def twice(rows: DataFrame, by: str, shown: F.Column) -> DataFrame:
-        return rows.groupBy("pii_type", by).agg(shown.alias("shown"), F.count("*").alias("n")).where("n > 1").select("pii_type", F.col("shown").alias("surrogate"), "n")
+    def twice(by: str) -> DataFrame:
+        return values.groupBy("pii_type", by).agg(F.min("surrogate_entity").alias("shown"), F.count("*").alias("n")).where("n > 1").select("pii_type", F.col("shown").alias("surrogate"), "n")
 
-    return (
-        twice(distinct, "surrogate", F.min("surrogate"))
-        .unionAll(twice(values, "surrogate_entity", F.min("surrogate_entity")))
-        .unionAll(twice(values, "entity", F.min("surrogate_entity")))
-    )
+    return twice("surrogate_entity").unionAll(twice("entity"))

@@ -11,7 +11,7 @@ from pagewright.llm.conversations import INJECTED, rebuild_conversations
 from pagewright.llm.leaks import SHARE, find_leaks
 from pagewright.llm.neighbours import most_similar
 from pagewright.llm.pairs import defects
-from pagewright.llm.personal import collisions, mentions, redacted
+from pagewright.llm.personal import collisions, mentions, redacted, secret_of
 from pagewright.llm.sentences import sentences
 from pagewright.llm.splitting import LIMIT, split_oversized
 from pagewright.plans import Query, table
@@ -61,12 +61,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Entries with every mention replaced by a typed placeholder."""
     entries = table(spark, folder, "entries").groupBy("id").agg(F.min_by("text", "loaded_at").alias("text"))
-    return redacted(entries, "id", "text", secret="archive")
+    return redacted(entries, "id", "text", secret=secret_of(spark))
 
 
 def p3_collisions(spark: SparkSession, folder: str) -> DataFrame:
-    """Surrogates that stand for two different mentions anywhere (there are none)."""
-    return collisions(mentions(table(spark, folder, "entries"), "id", "text", secret="archive"))
+    """Surrogates that stand for two different values anywhere, and values of two surrogates."""
+    return collisions(mentions(table(spark, folder, "entries"), "id", "text", secret=secret_of(spark)))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,7 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.llm.personal import canonical, collisions, find_mentions, mentions, redact, redacted, surrogate
+from pagewright.llm.personal import collisions, find_mentions, mentions, redact, redacted, secret_of
+from pagewright.llm.surrogates import GIVEN, canonical, gender, surrogate
 
 CASES = [
     ("Write to priya_x@ferry.north.example.org now. ", [("email", "priya_x@ferry.north.example.org")]),
@@ -31,8 +34,17 @@ def test_mentions(text, expected):
 
 def test_surrogates_keep_format_gender_and_distinctness():
     out = {m: surrogate(m, "name", b"k") for m in ("Marta Kolay", "Marta Kolaz", "Nadia Kolay", "Анна Дразенко")}
-    assert len(set(out.values())) == 4 and all(len(a) == len(b) for a, b in out.items())
-    assert out["Marta Kolay"].split()[0].endswith("a") and out["Marta Kolay"].split()[0] == out["Marta Kolaz"].split()[0]
+    assert len(set(out.values())) == 4
+    given = out["Marta Kolay"].split()[0]
+    assert gender(given.split("-")[0]) == "f" and given.split("-")[0] in GIVEN and given == out["Marta Kolaz"].split()[0]
+    everyone = [n for n in sorted(set(GIVEN))]
+    assert len({surrogate(f"{n} Kolay", "name", b"k") for n in everyone}) == len(everyone)
+
+
+def test_no_letter_of_the_value_stays_in_place():
+    for said, kind in (("İ. Demiroğlu", "name"), ("Nuñez Łęcki", "name"), ("山田太郎", "name"), ("Ελένη Παπαδάκη", "name"), ("ss-12 445", "id_number"), ("q.x@mail.example", "email"), ("12 Öre Street", "address")):
+        new = surrogate(said, kind, b"k")
+        assert not [a for a, b in zip(said, new) if a.isalnum() and a == b], (said, new)
     assert surrogate("+49 30 1", "phone", b"k").startswith("+49 ") and surrogate("Marta", "name", b"k") != surrogate("Marta", "name", b"j")
 
 
@@ -59,7 +71,7 @@ def test_one_value_written_in_several_ways_has_one_surrogate(spark):
     assert surrogate("a.b (at) mail (dot) example", "email", b"k").replace(" (at) ", "@").replace(" (dot) ", ".") == surrogate("a.b@mail.example", "email", b"k")
     assert bare("CY 966 5171", "id_number") == bare("CY9665171", "id_number")
     given, family = surrogate("Anna Kolay", "name", b"k").split()
-    assert given.endswith("a") and surrogate("Kolay, Anna", "name", b"k") == f"{family}, {given}"
+    assert gender(given.split("-")[0]) == "f" and surrogate("Kolay, Anna", "name", b"k") == f"{family}, {given}"
     assert surrogate("A. Kolay", "name", b"k") == f"{given[0]}. {family}" and surrogate("ANNA  KOLAY", "name", b"k") == f"{given}  {family}".upper()
     assert canonical("Anna Kolay", "name") == canonical("Kolay, Anna", "name") != canonical("Kolay Anna", "name")
     df = spark.createDataFrame([(1, "Ring +16045550179 or +1 604 555 0179. Anna Kolay left, then Kolay, Anna came.")], "id int, text string")
@@ -75,3 +87,34 @@ def test_any_family_name_after_a_known_given_name():
         assert [(k, a, b) for a, b, k in find_mentions(f"We met {name} at noon.")] == [("name", 7, 7 + len(name))]
     for text in ("We met Anna Monday at noon.", "We ate with Anna\nThen it rained.", "They saw Bill Stone.", "ANNA WE", "Anna Street"):
         assert not find_mentions(text)
+
+
+def test_names_beyond_lists_by_what_stands_beside_them():
+    for text, name in (
+        ("Then Dr. Zorblat Quix came in.", "Zorblat Quix"), ("Bill Stone said no.", "Bill Stone"), ("We met Wei Zhang at noon.", "Wei Zhang"), ("we saw Wei Zhang", "Wei Zhang"),
+        ("昨日山田太郎と会った", "山田太郎"), ("然后王小明先生来了", "王小明"),
+    ):
+        assert [text[a:b] for a, b, k in find_mentions(text) if k == "name"] == [name], text
+    for text in ("We met Upper Zurlano", "They saw Glass Orangery", "高山很美", "Today Brown bread", "Port Smith said"):
+        assert not find_mentions(text), text
+
+
+def test_long_values_are_found_whole():
+    box = "x" * 90 + "@mail.example"
+    assert [(0, len(box), "email")] == find_mentions(box)
+    street = "Calle de los " + "Altísimos " * 8 + "12"
+    assert [street[a:b] for a, b, _ in find_mentions(street)] == [street]
+    assert box[:20] not in redact(box, b"k")
+
+
+def test_check_digits():
+    found = lambda t: [t[a:b] for a, b, k in find_mentions(t) if k == "id_number"]
+    assert found("12345678Z or X1234567L, 811218-9876 and 44051401359") == ["12345678Z", "X1234567L", "811218-9876", "44051401359"]
+    assert found("12345678A or 811218-9875 and 44051401358") == []
+
+
+def test_collisions_can_be_found(spark):
+    rows = [(1, "name", "family a", "family x"), (2, "name", "family b", "family x"), (3, "name", "family c", "family y"), (4, "name", "family c", "family z"), (5, "phone", "1", "2")]
+    found = collisions(spark.createDataFrame(rows, "id int, pii_type string, entity string, surrogate_entity string"))
+    assert sorted((r.surrogate, r.n) for r in found.collect()) == [("family x", 2), ("family y", 2)]
+    assert re.fullmatch("[0-9a-f]{64}", secret_of(spark))
