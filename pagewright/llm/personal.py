@@ -50,8 +50,9 @@ ID_NUMBER = re.compile(rf"\b(?i:{_KEYWORD})(?:(?:\s*[,:#]|\s+(?i:no\.?|number|nr
 
 #: Numbers of a form, told without words before them if their check digits hold.
 _CHECKED = re.compile(r"(?<![\w\-/.])(?:(\d{8})-?([A-HJ-NP-TV-Z])|([XYZ])(\d{7})-?([A-HJ-NP-TV-Z])|(\d{6})[\-+](\d{4})|(\d{11}))(?![\w]|[\-/.]\w)")
-#: One of these stands in every text with an identity number told by words.
-_ID_HINTS = ("pass", "ssn", "security", "insurance", "identity", "personal", "id ", "id\n", "tax", "dni", "nie", "nif", "nino", "pesel", "licen", "ausweis")
+_SIX_DIGITS = re.compile(r"\d{6}")
+#: One of these stands in every identity number.
+_SIX_OR_MORE = re.compile(r"\d(?:[-\s]*\d){5}")
 
 _SEP = rf"(?:[ .\-/\xa0]|\n)"
 PHONE = re.compile(
@@ -201,6 +202,24 @@ def _word_before(text: str, at: int) -> tuple[int, int]:
     return k, at
 
 
+# Small words inside names of streets.
+_IN_STREETS = frozenset("de los las la del della dei delle di д".split())
+
+
+def _street_start(text: str, end: int, floor: int) -> int:
+    """Where a street before a number can begin at the earliest: no name of one holds three small words besides the usual."""
+    at, small = end, 0
+    while at > floor and small < 3:
+        while at > floor and not text[at - 1].isalnum():
+            at -= 1
+        last = at
+        while at > floor and text[at - 1].isalnum():
+            at -= 1
+        if at < last and not text[at].isupper() and text[at:last] not in _IN_STREETS:
+            small += 1
+    return at
+
+
 def _addresses_in(text: str) -> Iterator[tuple[int, int]]:
     low = 0  # a street's words hold no number, so each is looked for behind the number before
     for m in _NUMBER.finditer(text):
@@ -209,7 +228,7 @@ def _addresses_in(text: str) -> Iterator[tuple[int, int]]:
         if after:
             yield a, after.end()
         elif a and text[a - 1].isspace():
-            before = _BEFORE_NUMBER.search(text, low, a)
+            before = _BEFORE_NUMBER.search(text, _street_start(text, a, low), a)
             if before:
                 yield before.start(), b
         low = b
@@ -217,6 +236,8 @@ def _addresses_in(text: str) -> Iterator[tuple[int, int]]:
 
 def _checked_numbers(text: str) -> Iterator[tuple[int, int]]:
     """Identity numbers of Spain, Sweden and Poland by their check digits."""
+    if not _SIX_DIGITS.search(text):
+        return
     for m in _CHECKED.finditer(text):
         dni, dni_letter, nie, nie_digits, nie_letter, born, rest, pesel = m.groups()
         if dni or nie:
@@ -242,8 +263,7 @@ def find_mentions(text: str) -> list[tuple[int, int, str]]:
                 found.append((a, b, kind))
 
     add(_mails_in(text), "email")
-    plain = text.lower()
-    if any(hint in plain for hint in _ID_HINTS):
+    if _SIX_OR_MORE.search(text):
         add((m.span(1) for m in ID_NUMBER.finditer(text)), "id_number")
     add(_checked_numbers(text), "id_number")
     add(_phones_in(text), "phone")
@@ -274,15 +294,17 @@ def redact(text: str, key: bytes) -> str:
     return "".join([*out, text[at:]])
 
 
-def mentions(df: DataFrame, key: str, text: str, *, secret: str = "") -> DataFrame:
-    """(key, pii_type, start_char, end_char, mention, value, surrogate, entity, surrogate_entity) of every mention.
+def mentions(df: DataFrame, key: str, text: str, *, secret: str | None = None) -> DataFrame:
+    """(key, pii_type, start_char, end_char, mention, value) of every mention, and with a ``secret`` (surrogate, entity, surrogate_entity).
 
     ``value`` is the mention in lower case with letters and digits only, the
     entities are the canonical values of mention and surrogate. Null and
     empty texts give none; repeated rows give repeated mentions; other columns
-    are ignored. A map without a shuffle.
+    are ignored. A map without a shuffle of more than small scans.
     """
     kind = df.schema[key].dataType.simpleString()
+    names = ["pii_type", "start_char", "end_char", "mention", "value"] + (["surrogate", "entity", "surrogate_entity"] if secret else [])
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * (len(names) - 3)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,17 +312,19 @@ def mentions(df: DataFrame, key: str, text: str, *, secret: str = "") -> DataFra
             for row, value in enumerate(batch.column(1).to_pylist()):
                 for a, b, what in find_mentions(value):
                     said = value[a:b]
-                    other = surrogate(said, what, secret.encode())
-                    rows.append((row, what, a, b, said, "".join(filter(str.isalnum, said.lower())), other, canonical(said, what), canonical(other, what)))
-            columns = [*zip(*rows)] or [()] * 9
-            types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
+                    found = (row, what, a, b, said, "".join(filter(str.isalnum, said.lower())))
+                    if secret:
+                        other = surrogate(said, what, secret.encode())
+                        found += (other, canonical(said, what), canonical(other, what))
+                    rows.append(found)
+            columns = [*zip(*rows)] or [()] * len(types)
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(arrays[0]), *arrays[1:]], names=[f"c{k}" for k in range(9)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(arrays[0]), *arrays[1:]], names=["key", *names])
 
     return (
         spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
         .where(F.length("text") > 0)
-        .mapInArrow(run, f"key {kind}, pii_type string, start_char int, end_char int, mention string, value string, surrogate string, entity string, surrogate_entity string")
+        .mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} {'int' if n.endswith('_char') else 'string'}" for n in names))
         .withColumnRenamed("key", key)
     )
 

@@ -57,7 +57,7 @@ def test_rows(spark):
     df = spark.createDataFrame([("a", "We met Marta Kolay.", 1), ("a", "We met Marta Kolay.", 1), ("b", "", 2), ("c", None, 3), ("d", "x" * 100000, 4)], "id string, text string, value int")
     rows = mentions(df, "id", "text").collect()
     assert [(r.id, r.pii_type, r.value) for r in rows] == [("a", "name", "martakolay")] * 2
-    assert collisions(mentions(df, "id", "text")).count() == 0
+    assert collisions(mentions(df, "id", "text", secret="k")).count() == 0
     assert {r.id: r.text for r in redacted(df, "id", "text").collect()}["c"] is None
     assert mentions(df.limit(0), "id", "text").count() == 0
 
