@@ -5,10 +5,14 @@ boundary token. Paragraph edges show which words end and begin sentences, the
 insides of paragraphs which words merely follow others; from both come the
 model's estimates for the word before a gap (abbreviations seldom end a
 paragraph), and the words after it (words that open paragraphs, against all
-words). Gaps are those after closing punctuation and, in scripts that set none,
-blanks; forward-backward over the gaps of a paragraph, where very short
-sentences are unlikely, gives each gap's posterior. Quotations and brackets are
-matched first: inside them a sentence does not end.
+words). Where marks are set, the gaps that can hold a boundary are those after
+closing marks and, in scripts that set none, blanks; a paragraph without any mark is
+one of hidden events only, so every gap between its words, or characters where a
+script has no blanks, can hold one. Forward-backward over a paragraph, in which very
+short sentences are unlikely, gives each gap's posterior. Quotations and brackets are
+matched first: inside them a sentence does not end. Units are words, long ones before
+a stop backing off to their class; in scripts without blanks between words they are
+runs of two (ideographs, kana) or five (Thai and its neighbours) characters.
 """
 
 from __future__ import annotations
@@ -21,11 +25,19 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pagewright.session import spread
+
 #: Rounds of expectation and maximisation over the gaps of all documents.
 EM = 3
 #: Distinct keys a task counts before it hands its counts on.
 KEYS = 200_000
 RARE = 5
+#: Words of more letters before a stop stand for their class.
+LONG = 6
+#: Words, and pieces of text with their marks, that a task remembers the classes of.
+MEMO = 1 << 20
+#: Units of a sentence, on average, and those that a boundary hardly stands within, in paragraphs without marks.
+UNMARKED, SHORT = 14, 4
 _BLOCK = re.compile(r"\n[^\S\n]*\n\s*")
 _MARKS = re.compile("[\"'“”„«»‘’()（）「」『』\\[\\]《》〈〉]")
 _PAIRS = {"(": ")", "（": "）", "「": "」", "『": "』", "[": "]", "《": "》", "〈": "〉", "«": "»"}
@@ -33,11 +45,14 @@ _CLOSE = {v: k for k, v in _PAIRS.items()}
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏŠŽČĆĐŁŚŻŹŐŰİĞŞ"
 _THAI = "฀-๿຀-໿ក-៿က-႟"
 #: Gaps: terminators (a Greek question mark before a Greek capital), or blanks beside scripts without them.
-_GAP = re.compile(rf"[.!?…؟۔।॥。！？｡]+|(?<=[α-ωάέήίόύώϊϋ])[;;](?=\s+[Α-ΩΆΈΉΊΌΎΏ«(]|\s*$)|(?<=[{_THAI}])\s+(?=\S)|(?<=[0-9])\s+(?=[{_THAI}])")
-_WIDE = "。！？｡"
+_STOPS = ".!?…؟۔।॥。！？｡‼⁇⁈⁉։።፧፨။។៕༎᠃᠉᙮߸꓿꘎꘏"
+_GAP = re.compile(rf"[{_STOPS}]+|(?<=[α-ωάέήίόύώϊϋ])[;;](?=\s+[Α-ΩΆΈΉΊΌΎΏ«(]|\s*$)|(?<=[{_THAI}])\s+(?=\S)|(?<=[0-9])\s+(?=[{_THAI}])")
+_WIDE = "。！？｡။។៕༎"
+_ANY = re.compile(rf"[{_STOPS}{_THAI};;]")
 _CLOSERS = "\"'”’»)]）」』》〉“"
 _BULLET = re.compile(r"\s*(?:[-*•–]|\d{1,3}[.)]|[a-z]\))\s")
 _RIGHT = re.compile(r"[^\w\n]*\n?[^\w\n]*(\w+(?:['’]\w+)?)")
+_UNIT = re.compile("[぀-ヿ㐀-鿿]|[^\\W_぀-ヿ㐀-鿿]+(?:['’][^\\W_]+)?")
 _GLUED = re.compile(rf"[^\W\d_]{{2}}[.!?](?=[{_UP}])")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _THAI_WORD = re.compile(f"[{_THAI}]")
@@ -96,20 +111,29 @@ def spans_of_marks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+class _Rights(dict):
+    """A word after a gap, with (unit, class of its first letter)."""
+
+    def __missing__(self, w: str) -> tuple[str, str]:
+        if len(self) > MEMO:
+            self.clear()
+        c = w[0]
+        if _CJK.match(c):
+            value = w[:2], "c"
+        elif _THAI_WORD.match(c):
+            value = w[:5], "t"
+        elif c.isdigit():
+            value = "<digits>", "d"
+        else:
+            value = _bare(w), "u" if c.isupper() else "l" if c.islower() else "n"
+        self[w] = value
+        return value
+
+
 def _right_key(text: str, at: int) -> tuple[str, str]:
-    """(word after the gap, class of its first letter)."""
+    """(unit after the gap, class of its first letter)."""
     m = _RIGHT.match(text, at)
-    if not m:
-        return "", "x"
-    w = m[1]
-    c = w[0]
-    if _CJK.match(c):
-        return w[:2], "c"
-    if _THAI_WORD.match(c):
-        return w[:5], "t"
-    if c.isdigit():
-        return "<digits>", "d"
-    return _bare(w)[:14], "u" if c.isupper() else "l" if c.islower() else "n"
+    return _rights[m[1]] if m else ("", "x")
 
 
 def _bare(word: str) -> str:
@@ -117,37 +141,68 @@ def _bare(word: str) -> str:
     return word[:-2] if word[-2:] in ("'s", "’s") else word
 
 
+def _unit_before(text: str, start: int, at: int) -> str:
+    """The unit that ends at ``at``: two characters of a script without blanks, else the word in lower case; empty if none does."""
+    if at > start and _CJK.match(text[at - 1]):
+        return text[max(start, at - 2) : at]
+    k = at
+    while k > start and text[k - 1].isalnum():
+        k -= 1
+    return text[k:at].lower()
+
+
+class _Lefts(dict):
+    """What stands before a gap back to the last blank, marks and all, with its class: the word itself where it is short."""
+
+    def __missing__(self, said: str) -> str:
+        if len(self) > MEMO:
+            self.clear()
+        self[said] = value = self._class(said)
+        return value
+
+    @staticmethod
+    def _class(said: str) -> str:
+        body = said.rstrip(_CLOSERS)
+        at = len(body.rstrip(_STOPS + ";;"))
+        word, marks = body[:at], body[at:]
+        quoted = len(body) < len(said)
+        if "…" in marks or ".." in marks:
+            return "<ellipsis>" + ("c" if word and _CJK.match(word[-1]) else "." if "." in marks else "")
+        if marks[-1:] != ".":
+            return ("<wide>" if marks[-1:] in _WIDE else "<strong>") + ("q" if quoted else "")
+        if quoted:
+            return "<stop>q"
+        word = word.strip("\"'“”„«»‘’()[]¿¡")
+        glued = _GLUED.search(word)
+        if glued:
+            word = word[glued.end() :]
+        if not word:
+            return "<mark>"
+        if word.isdigit():
+            return "<dd>" if len(word) < 3 else "<number>"
+        if word[0].isdigit():
+            return "<number>"
+        # "4.3" before a unit, "п.м" and the like keep their dots
+        if len(word) > LONG and "." not in word:
+            return "<word>"
+        if len(word) == 1 and word.isupper():
+            return "<initial>"
+        return word.lower()
+
+
 def _left_key(text: str, start: int, at: int, end: int) -> str:
-    """Class of what stands before the gap: the word itself where it is short, and the marks."""
-    marks = text[at:end]
-    if marks.isspace():
+    """Class of what stands before a gap with marks from ``at`` to ``end``."""
+    last = text[end - 1]
+    if last.isspace():
         return "<blank>"
-    quoted = any(c in _CLOSERS for c in marks)
-    body = marks.rstrip(_CLOSERS)
-    if "…" in body or ".." in body:
-        return "<ellipsis>" + ("c" if at > start and _CJK.match(text[at - 1]) else "." if "." in body else "")
-    if body[-1:] != ".":
-        return ("<wide>" if body[-1:] in _WIDE else "<strong>") + ("q" if quoted else "")
-    if quoted:
-        return "<stop>q"
-    low = max(start, at - 18)
-    k = max(text.rfind(" ", low, at), text.rfind("\n", low, at), text.rfind("\xa0", low, at), low - 1)
-    word = text[k + 1 : at].strip("\"'“”„«»‘’()[]¿¡")
-    glued = _GLUED.search(word)
-    if glued:
-        word = word[glued.end() :]
-    if not word:
-        return "<mark>"
-    if word.isdigit():
-        return "<dd>" if len(word) < 3 else "<number>"
-    if word[0].isdigit():
-        return "<number>"
-    # "4.3" before a unit, "п.м" and the like keep their dots
-    if len(word) > 6 and "." not in word:
-        return "<word>"
-    if len(word) == 1 and word.isupper():
-        return "<initial>"
-    return word.lower()
+    if last in _WIDE:  # scripts without blanks: the marks alone tell
+        return _lefts[text[max(start, at - 1) : end]]
+    k = text.rfind(" ", start, at)
+    k = max(k, text.rfind("\n", max(k, start), at), text.rfind("\xa0", max(k, start), at), start - 1)
+    return _lefts[text[k + 1 : end]]
+
+
+_lefts, _rights = _Lefts(), _Rights()
 
 
 def _gaps(text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
@@ -157,38 +212,48 @@ def _gaps(text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
     closes = {b for _, b in inside}
     bullet = _BULLET.match(block)
     floor, k = bullet.end() if bullet else 0, 0
+    n, last = len(block), len(inside)
     for m in _GAP.finditer(block):
         a, b = m.span()
         if a < floor:
             continue
-        while k < len(inside) and inside[k][1] < a:
+        follows = block[b] if b < n else ""
+        if not last and (follows == " " or follows == "\n"):  # the usual case
+            yield start + a, start + b, start + b
+            continue
+        while k < last and inside[k][1] < a:
             k += 1
         if m[0].isspace():
-            if not (k < len(inside) and inside[k][0] < a):
+            if not (k < last and inside[k][0] < a):
                 yield start + a, start + b, start + b
             continue
-        while b < len(block) and block[b] in _CLOSERS and (b in closes or block[b] not in "“\"'"):
+        while b < n and block[b] in _CLOSERS and (b in closes or block[b] not in "“\"'"):
             b += 1
-        if k < len(inside) and inside[k][0] < a and inside[k][1] >= b:
-            continue
-        if b >= len(block):
+        if b >= n or (k < last and inside[k][0] < a and inside[k][1] >= b):
             continue
         follows = block[b]
         if not follows.isspace():
             wide = m[0][-1] in _WIDE or (m[0][-1] == "…" and _CJK.match(follows)) or (b > m.end() and _CJK.match(follows))
-            joined = (
+            if not wide and not (
                 follows.isupper()
                 and a > 1
                 and block[a - 1].islower()
                 and block[a - 2].isalpha()
-                and (b + 1 >= len(block) or not block[b + 1].isupper())
-                and "@" not in block[max(0, a - 20) : b + 20]
-                and "/" not in block[max(0, a - 12) : b + 12]
-            )
-            if not (wide or joined):
+                and (b + 1 >= n or not block[b + 1].isupper())
+                and not _joined_parts(block, a, b)
+            ):
                 continue
         yield start + a, start + b, start + b
-    return
+
+
+def _joined_parts(block: str, a: int, b: int) -> bool:
+    """Whether the run of text without blanks around a mark is an address or path, by an @ or a slash in it."""
+    while a and not block[a - 1].isspace():
+        a -= 1
+    while b < len(block) and not block[b].isspace():
+        b += 1
+    said = block[a:b]
+    return "@" in said or "/" in said
 
 
 def _blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -203,7 +268,7 @@ class Counts:
     """What the model is estimated from: sums over texts, so counts of parts add up to those of the whole."""
 
     def __init__(self, texts: Iterator[str] = ()):
-        self.final, self.seen, self.starts, self.words, self.unsure = (Counter() for _ in range(5))
+        self.final, self.seen, self.starts, self.words, self.lasts, self.unsure = (Counter() for _ in range(6))
         self._raw: Counter = Counter()
         for text in texts:
             self.add(text)
@@ -229,11 +294,14 @@ class Counts:
                 self.seen[key] += 1
                 self.unsure[(key, *_right_key(text, after), caseless)] += 1
             tail = len(block.rstrip(_CLOSERS))
-            if tail and block[tail - 1] in ".!?…؟।。！？":
-                at = a + len(block[:tail].rstrip(".!?…؟।。！？"))
+            if tail and block[tail - 1] in _STOPS:
+                at = a + len(block[:tail].rstrip(_STOPS))
                 key = _left_key(text, a, at, b)
                 self.final[key] += 1
                 self.seen[key] += 1
+                last = _unit_before(text, a, at)
+                if last:
+                    self.lasts[last] += 1
 
     def _words(self) -> Counter:
         for w, n in self._raw.items():
@@ -243,13 +311,13 @@ class Counts:
             elif _THAI_WORD.match(w[0]):
                 self.words[w[:5]] += n
             else:
-                self.words["<digits>" if w[0].isdigit() else _bare(w)[:14]] += n
+                self.words["<digits>" if w[0].isdigit() else _bare(w)] += n
         self._raw.clear()
         return self.words
 
     def rows(self) -> pa.RecordBatch:
         """(what, key, word, kind, caseless, n), one row per key."""
-        rows = [(what, key, "", "", False, n) for what, own in zip("fnsw", (self.final, self.seen, self.starts, self._words())) for key, n in own.items()]
+        rows = [(what, key, "", "", False, n) for what, own in zip("fnswl", (self.final, self.seen, self.starts, self._words(), self.lasts)) for key, n in own.items()]
         rows += [("g", *key, n) for key, n in self.unsure.items()]
         types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows)] or [()] * 6, types)], names=[*_KEY, "n"])
@@ -258,7 +326,7 @@ class Counts:
     def of(cls, rows: Iterator[tuple]) -> Counts:
         """The counts that such rows hold."""
         out = cls()
-        into = dict(zip("fnsw", (out.final, out.seen, out.starts, out.words)))
+        into = dict(zip("fnswl", (out.final, out.seen, out.starts, out.words, out.lasts)))
         for what, key, word, kind, caseless, n in rows:
             if what == "g":
                 out.unsure[(key, word, kind, caseless)] += n
@@ -303,12 +371,15 @@ class Model:
             for key, n in self.seen.items():
                 spare = 1 if len(key) < 5 else 3
                 self.before[key] = self._odds(key, min(expected[key], 1.3 * n * (self.final[key] + spare) / (n * self.rate + spare)), n)
-        # only words that follow gaps are asked for
-        asked = {right[0] for _, *right in unsure}
+        # only words that follow gaps, and begin or end paragraphs, are asked for
+        self.n_lasts = sum(counts.lasts.values())
+        self.lasts = counts.lasts
+        asked = {right[0] for _, *right in unsure} | {*self.starts, *self.lasts}
         lower = {w.lower() for w in asked}
         self.starts, self.words = (Counter({w: own[w] for w in asked if w in own}) for own in (self.starts, self.words))
         self.low_starts, self.low_words = (Counter({w: own[w] for w in lower if w in own}) for own in (self.low_starts, self.low_words))
         self.after = {}
+        self.met: dict[tuple[str, str, bool], float] = {}
 
     def _tables(self) -> None:
         self.n_starts, self.n_words = sum(self.starts.values()), sum(self.words.values())
@@ -345,6 +416,23 @@ class Model:
             self.before[key] = self._odds(key, 0.0, 0.0)
         return self.before[key]
 
+    def both(self, key: str, word: str, kind: str, caseless: bool) -> float:
+        at = (key, word, caseless)
+        value = self.met.get(at)
+        if value is None:
+            value = self.left(key) + self.right(word, kind, caseless)
+            if len(self.met) < MEMO:
+                self.met[at] = value
+        return value
+
+    def ends(self, unit: str) -> float:
+        """Log ratio of a unit before a boundary against the unit anywhere."""
+        met = self.low_words[unit]
+        if not met and not self.lasts[unit]:
+            return -1.0
+        share = (max(met, self.lasts[unit]) + 0.5) / max(self.n_words, 1)
+        return max(min(math.log((self.lasts[unit] + 4 * share) / (self.n_lasts + 4) / share), 3.0), -4.0)
+
     def right(self, word: str, kind: str, caseless: bool) -> float:
         """Log ratio of the word after a boundary against the word inside a sentence."""
         at = (word, kind, caseless)
@@ -374,10 +462,13 @@ def split_sentences(text: str, model: Model, short: float = 0.1) -> list[tuple[i
     out: list[tuple[int, int]] = []
     for a, b in _blocks(text):
         cuts = [a]
-        gaps = [*_gaps(text, a, b)]
-        if gaps:
+        gaps = [*_gaps(text, a, b)] if _ANY.search(text, a, b) else []
+        if not gaps:
+            if b - a > 2 * UNMARKED and text[a:b].rstrip()[-1:] not in _STOPS:
+                cuts += _unmarked(text, a, b, model, short)
+        else:
             caseless = text[a:b].islower() or text[a:b].isupper()
-            odds = [model.left(_left_key(text, a, at, end)) + model.right(*_right_key(text, nxt), caseless) for at, end, nxt in gaps]
+            odds = [model.both(_left_key(text, a, at, end), *_right_key(text, nxt), caseless) for at, end, nxt in gaps]
             cuts += [gaps[k][2] for k in _decide(text, a, gaps, odds, short)]
         cuts.append(b)
         for s, e in zip(cuts, cuts[1:]):
@@ -389,6 +480,38 @@ def split_sentences(text: str, model: Model, short: float = 0.1) -> list[tuple[i
     return out
 
 
+def _unmarked(text: str, start: int, end: int, model: Model, short: float) -> Iterator[int]:
+    """Boundaries of a paragraph in which no mark stands: hidden events between all its units.
+
+    Forward-backward over all gaps; the states are the units since the last boundary, up to SHORT.
+    """
+    units = [m.span() for m in _UNIT.finditer(text, start, end)]
+    if len(units) < 2 * UNMARKED:
+        return
+    block = text[start:end]
+    caseless = block.islower() or block.isupper() or not any(c.isupper() for c in block)
+    prior = -math.log(UNMARKED - 1)
+    weights = []
+    for (_, before), (at, _) in zip(units, units[1:]):
+        right = _rights[text[at : at + 2] if _CJK.match(text[at]) else _GENERAL.match(text, at)[0]]
+        odds = prior + model.ends(_unit_before(text, start, before)) + model.right(*right, caseless)
+        weights.append(math.exp(max(min(odds, 30.0), -30.0)))
+    cost = [short] * (SHORT - 1) + [1.0]
+    backs = [cost]  # the mass behind each gap, by state
+    for w in reversed(weights[1:]):
+        last = backs[-1]
+        mass = [c * w * last[0] + last[min(d + 1, SHORT - 1)] for d, c in enumerate(cost)]
+        backs.append([x / sum(mass) for x in mass])
+    state = [1.0] + [0.0] * (SHORT - 1)
+    for (at, _), w, behind in zip(units[1:], weights, reversed(backs)):
+        cut = sum(f * c for f, c in zip(state, cost)) * w
+        state = [cut, *state[:-2], state[-2] + state[-1]]
+        total = sum(state)
+        state = [f / total for f in state]
+        if state[0] * behind[0] > 0.5 * sum(f * x for f, x in zip(state, behind)):
+            yield at
+
+
 def _decide(text: str, start: int, gaps: list[tuple[int, int, int]], odds: list[float], short: float) -> Iterator[int]:
     """Gaps whose posterior exceeds one half: forward-backward where neighbours are close, else each on its own."""
     n = len(gaps)
@@ -424,27 +547,24 @@ def _decide(text: str, start: int, gaps: list[tuple[int, int, int]], odds: list[
 
 
 def fitted(rows: DataFrame, text: str) -> Model:
-    """The model of all distinct texts.
+    """The model of all texts, copies included.
 
     Tasks count, Spark sums; what comes to the driver is one row per distinct key
     (words, and pairs of what stands before and after gaps), however many texts
-    there are. The texts are shuffled by hash once, so that copies count once.
+    there are. The texts themselves are not shuffled.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, met = Counts(), set()
+        counts = Counts()
         for batch in batches:
-            for h, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if h not in met:
-                    met.add(h)
-                    counts.add(value)
+            for value in batch.column(0).to_pylist():
+                counts.add(value)
             if len(counts) > KEYS:
                 yield counts.rows()
                 counts = Counts()
         yield counts.rows()
 
-    texts = rows.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")).repartition("h")
-    partial = texts.mapInArrow(count, "what string, key string, word string, kind string, caseless boolean, n long")
+    partial = rows.select(text).mapInArrow(count, "what string, key string, word string, kind string, caseless boolean, n long")
     summed = partial.groupBy(*_KEY).agg(F.sum("n").alias("n")).toArrow()
     # in one order, so that sums of shares come out alike in every run
     return Model(Counts.of(sorted(zip(*(c.to_pylist() for c in summed.columns)))))
@@ -453,12 +573,12 @@ def fitted(rows: DataFrame, text: str) -> Model:
 def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start_char, end_char): the sentences of every text, offsets from 0 in code points, end exclusive.
 
-    The model is estimated from all distinct texts (``fitted``). Null and blank
+    The model is estimated from all texts (``fitted``). Null and blank
     texts have no sentence; repeated rows repeated ones; other columns are
     ignored. Splitting is a map without a shuffle of the texts.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
+    rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).where(F.length("text") > 0)
     model = fitted(rows, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

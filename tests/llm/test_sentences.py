@@ -65,12 +65,12 @@ def test_rows(spark):
 
 
 def test_all_texts_are_counted(spark):
-    texts = [*dict.fromkeys(corpus(2000))]
+    texts = corpus(2000)
     assert len(texts) > 3000
     whole = Model(iter(texts))
-    df = spark.createDataFrame([(t,) for t in [*texts, *texts[:50]]], "text string").repartition(7)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
     model = fitted(df, "text")
-    assert model.seen == whole.seen and model.final == whole.final and model.starts == whole.starts
+    assert model.seen == whole.seen and model.final == whole.final and model.starts == whole.starts and model.lasts == whole.lasts
     assert model.n_starts == whole.n_starts and abs(model.n_words - whole.n_words) < 1e-6 * whole.n_words
     assert all(abs(model.before[k] - v) < 1e-9 for k, v in whole.before.items())
 
@@ -83,3 +83,19 @@ def test_long_quotations_and_unclosed_marks():
     assert len(cut("They said “" + said.strip())) == len(cut("They said " + said.strip())) == 80
     # an unclosed mark ends with its paragraph
     assert cut("They said “We walked to the mill. Then it rained.\n\nThen it rained.” We walked to the mill.")[:2] == ["They said “We walked to the mill.", "Then it rained."]
+
+
+def test_paragraphs_without_marks_have_hidden_boundaries():
+    plain = [t.strip(".?").lower() for t in ("We walked to the mill", "Then it rained", "They ate bread jam etc at noon", "Is it far", "We walked to the mill", "Then it rained", "We walked to the mill")]
+    got = cut(" ".join(plain))
+    assert sum(g in plain for g in got) >= 5 and " ".join(got) == " ".join(plain)
+    bare = "我们到了云溪渡晚饭是鱼汤我们到了云溪渡晚饭是鱼汤我们到了云溪渡"
+    assert cut(bare) == ["我们到了云溪渡", "晚饭是鱼汤", "我们到了云溪渡", "晚饭是鱼汤", "我们到了云溪渡"]
+    # a heading is short, and stays whole
+    assert cut("a walk to the old mill and back") == ["a walk to the old mill and back"]
+
+
+def test_marks_of_other_scripts():
+    assert cut("Նա եկավ։ Մենք գնացինք։") == ["Նա եկավ։", "Մենք գնացինք։"]
+    assert cut("እሱ መጣ። እኛ ሄድን።") == ["እሱ መጣ።", "እኛ ሄድን።"]
+    assert cut("သူလာသည်။ငါတို့သွားသည်။") == ["သူလာသည်။", "ငါတို့သွားသည်။"]
