@@ -3,15 +3,15 @@ from collections import Counter
 
 import pytest
 
-from pagewright.llm.containers import best_fit, pack_containers, token_counts
+from pagewright.llm.containers import best_fit, pack_containers, rounds, token_counts
 
 
 def filled(counts, capacity):
     load, seen = Counter(), Counter()
-    for size, a, b, first, each in best_fit(counts, capacity):
+    for size, a, n, first, each in best_fit(counts, capacity):
         assert seen[size] == a
-        seen[size] = b
-        for r in range(b - a):
+        seen[size] = a + n
+        for r in range(n):
             load[first + r // each] += size
     assert seen == Counter({s: n for s, n in counts.items() if n})
     return load
@@ -69,3 +69,28 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, "two words"), (2, ""), (3, None), (4, "<|endoftext|>" * 3)], "id int, text string")
     got = dict(map(tuple, token_counts(df, "id", "text", P.path("byte_bpe_50k.tiktoken")).collect()))
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 3
+
+
+def test_rounds_fill_as_well_as_one_sweep(spark):
+    rng = random.Random(4)
+    counts = {rng.randint(1, 300): rng.randint(1, 40) for _ in range(60)}
+    df = spark.createDataFrame([*counts.items()], "size long, n long")
+    load, seen = Counter(), Counter()
+    for r in rounds(df, 300, width=64).collect():
+        seen[r["size"]] += r.n
+        for k in range(r.n):
+            load[r.container + k // r.each] += r["size"]
+    assert seen == Counter(counts) and max(load.values()) <= 300 and sorted(load) == [*range(len(load))]
+    best = -(-sum(s * n for s, n in counts.items()) // 300)
+    assert len(load) <= max(len(filled(counts, 300)), best) + 2
+
+
+def test_parts_of_a_hot_size(spark):
+    df = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 7, id % 11) AS n")
+    rows = pack_containers(df, "id", "n", 20, part=100).collect()
+    load = Counter()
+    for r in rows:
+        if r.tokens:
+            load[r.container_id] += r.tokens
+    assert len(rows) == 3000 and max(load.values()) <= 20 and all((r.container_id is None) == (r.tokens == 0) for r in rows)
+    assert len(load) <= sum(load.values()) / 20 * 1.02 + 1
