@@ -7,13 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewright.llm.containers import CAPACITY, pack_containers, token_counts
-from pagewright.llm.conversations import INJECTED, rebuild_conversations
+from pagewright.llm.conversations import rebuild_conversations
 from pagewright.llm.leaks import SHARE, find_leaks
 from pagewright.llm.neighbours import most_similar
 from pagewright.llm.pairs import defects
 from pagewright.llm.personal import collisions, mentions, redacted, secret_of
 from pagewright.llm.sentences import sentences
 from pagewright.llm.splitting import LIMIT, split_oversized
+from pagewright.operators.transcript import INJECTED
 from pagewright.plans import Query, table
 
 
@@ -76,13 +77,19 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The spoken messages of every kept session."""
-    return rebuild_conversations(table(spark, folder, "log_events")).select("session_id", "pos", "uuid")
+    return rebuild_conversations(table(spark, folder, "log_events"), with_text=False).select("session_id", "pos", "uuid")
+
+
+def p6_by_clocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages in order of corrected times alone, files merged where they overlap, without sessions whose clocks are infeasible."""
+    found = rebuild_conversations(table(spark, folder, "log_events"), files_follow=False, reject_infeasible=True, with_text=False)
+    return found.select("session_id", "pos", "uuid")
 
 
 def p6_conversations(spark: SparkSession, folder: str) -> DataFrame:
     """One row per kept session: messages, clock offset feasibility and span of corrected times."""
     return (
-        rebuild_conversations(table(spark, folder, "log_events"))
+        rebuild_conversations(table(spark, folder, "log_events"), with_text=False)
         .groupBy("session_id")
         .agg(
             F.count("*").alias("messages"),
@@ -173,6 +180,7 @@ QUERIES: dict[str, Query] = {
     "p3_collisions": p3_collisions,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p6_by_clocks": p6_by_clocks,
     "p6_conversations": p6_conversations,
     "p7_assignment": p7_assignment,
     "p7_containers": p7_containers,

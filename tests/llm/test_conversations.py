@@ -57,3 +57,33 @@ def test_clashing_clocks_and_empty(spark):
     assert [r.feasible for r in rebuild_conversations(df).collect()] == [False] * 4
     assert rebuild_conversations(df, reject_infeasible=True).count() == 0
     assert rebuild_conversations(df.limit(0)).count() == 0
+
+
+def test_blocks_of_lines_meet(spark, monkeypatch):
+    from pagewright.llm import conversations
+
+    # the assistant's clock is 60 s ahead in one file and 7 s behind in the next; every second line is no message
+    rows = []
+    for name, shift, begun in (("f", 60, 0), ("g", -7, 1000)):
+        for k in range(12):
+            rows.append(line("a", name, 2 * k + 1, ("user", "assistant")[k % 2], f"{name}{k}", at=begun + 4 * k + shift * (k % 2)))
+            rows.append(line("a", name, 2 * k + 2, "system", None, at=begun + 4 * k))
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = [tuple(r) for r in rebuild_conversations(df).orderBy("pos").collect()]
+    assert [r[2] for r in whole] == [f"{n}-{2 * k + 1}" for n in "fg" for k in range(12)]
+    times = [r[6] for r in whole]
+    assert all(abs((b - a).total_seconds() - 4) < 1e-3 for k, (a, b) in enumerate(zip(times, times[1:])) if k != 11)
+    for size in (1, 2, 3, 5):
+        monkeypatch.setattr(conversations, "BLOCK", size)
+        assert [tuple(r) for r in rebuild_conversations(df).orderBy("pos").collect()] == whole
+
+
+def test_overlapping_files(spark):
+    rows = [line("a", "f", 1, "user", "q1", at=0), line("a", "f", 2, "assistant", "a1", at=10), line("a", "g", 1, "user", "q2", at=3), line("a", "g", 2, "assistant", "a2", at=7)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    follow = rebuild_conversations(df).orderBy("pos").collect()
+    assert [r.text for r in follow] == ["q1", "a1", "q2", "a2"] and [r.corrected_ts for r in follow] == sorted(r.corrected_ts for r in follow)
+    # merged by their clocks the two runs interleave, which leaves the first question unanswered
+    assert rebuild_conversations(df, files_follow=False).count() == 0
+    apart = spark.createDataFrame([*rows[:2], line("a", "g", 1, "user", "q2", at=13), line("a", "g", 2, "assistant", "a2", at=17)], SCHEMA)
+    assert [r.text for r in rebuild_conversations(apart, files_follow=False).orderBy("pos").collect()] == ["q1", "a1", "q2", "a2"]
