@@ -1,12 +1,15 @@
 """The k most similar vectors of every vector, by vantage-point trees per shard.
 
-Shards are the cells of vantage points drawn from the data; each vector lives in
-the shard of the nearest one. A query visits a shard only if the triangle
-inequality leaves room for a neighbour there: members of cell j lie at least
-(d(q, j) - d(q, nearest)) / 2 away. In a shard a vantage-point tree halves the
+Shards are the cells of vantage points on two levels: cells of points drawn from all
+vectors, and in each of them cells of points drawn from its own. Both levels hold about
+as many points, the square root of the number of shards, so neither grows with the
+number of vectors; the points of the second level stay in a table and meet their cell's
+vectors there. A vector lives in the shard of the nearest points. A query visits a cell
+only if the triangle inequality leaves room for a neighbour there: members of cell j lie
+at least (d(q, j) - d(q, nearest)) / 2 away. In a shard a vantage-point tree halves the
 members by their distance to a vantage point, and a half is passed over if it is
 further away than the k-th neighbour known so far. ``route`` and ``factor``
-relax the two bounds; at one both are those of an exact search.
+relax the bounds; at one they are those of an exact search.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from pagewright.session import cut
 
 #: Members of a shard aimed at, of a tree's leaf, and of one task's block of a shard.
 SHARD, LEAF, MOST = 500, 64, 4000
-#: Vantage points that shards are cut by, at most (2 MB at 64 numbers each).
-POINTS = 8192
+#: Vectors drawn per shard to fit the second level; vectors of a cell that one task routes; points of a cell at most.
+DRAWN, GROUP, CELL = 16, 50_000, 4096
+#: Vectors compared with all points at once.
+SLICE = 1024
 
 
 class Tree:
@@ -105,50 +110,113 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return fine.groupBy("id").agg(F.min(F.transform("v", lambda x: (x.cast("double") / F.col("n")).cast("float"))).alias("v"))
 
 
+def _routes(vectors: np.ndarray, points: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, whether it is the nearest) of the cells in which a row can have neighbours within ``reach``."""
+    out = []
+    for at in range(0, len(vectors), SLICE):
+        d = distance(vectors[at : at + SLICE] @ points.T)
+        least, home = d.min(axis=1), d.argmin(axis=1)
+        row, cell = np.nonzero((d - least[:, None]) / 2 <= reach)
+        out.append((row + at, cell, home[row] == cell))
+    if not out:
+        none = np.empty(0, np.int64)
+        return none, none, none.astype(bool)
+    return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
+
+
 def most_similar(
-    df: DataFrame, key: str, vector: str, *, dim: int, k: int = 5, minimum: float = -1.0, route: float = 0.07, factor: float = 0.7, shard: int = SHARD
+    df: DataFrame, key: str, vector: str, *, dim: int, k: int = 5, minimum: float = -1.0, route: float = 0.07, factor: float = 0.7, shard: int = SHARD, most: int = MOST, group: int = GROUP
 ) -> DataFrame:
     """(key, neighbour, rank, cosine): up to k other keys most similar to each, none under ``minimum``.
 
     Repeated rows of a key count once; unusable vectors take no part; ties go by
     key. More than k+1 equal vectors stand in the search by their k+1 smallest
-    keys, and the rest get the first k of those. A shard with many members is
-    searched in blocks of MOST by separate tasks. No rows give no rows; extra
-    columns are ignored.
+    keys, and the rest get the first k of those. The points are drawn from a sample of
+    DRAWN vectors per shard by hash; every vector is indexed. A crowded shard is
+    searched in blocks of about ``most`` by separate tasks, a crowded cell routed in
+    blocks of about ``group``. No rows give no rows; extra columns are ignored.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = cut(usable(df, key, vector, dim).withColumn("copy", F.struct(F.xxhash64("v"), F.hash("v"))))
+    rows = cut(usable(df, key, vector, dim).withColumns({"copy": F.struct(F.xxhash64("v"), F.hash("v")), "h": F.xxhash64("id")}))
     alike = W.partitionBy("copy").orderBy("id")
-    # the limit on the rank is applied before the shuffle as well, so many copies are no burden
-    lead = rows.withColumn("at", F.row_number().over(alike)).where(F.col("at") <= k + 1)
-    held = lead.select("id", "v")
+    # keys alone are ranked, and the limit applies before the shuffle as well, so many copies are no burden
+    lead = rows.select("copy", "id").withColumn("at", F.row_number().over(alike)).where(F.col("at") <= k + 1)
+    lasts = lead.where(F.col("at") == k + 1).select("copy", F.col("id").alias("last"))
+    held = rows.join(lasts, "copy", "left").where(F.col("last").isNull() | (F.col("id") <= F.col("last"))).select("id", "h", "v")
     total = rows.count()
-    number = max(1, min(POINTS, total // shard))
-    points = np.array([r.v for r in rows.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(number).collect()], dtype=np.float32).reshape(-1, dim)
-    radius = math.sqrt(max(0.0, 2.0 - 2.0 * minimum))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shards = max(1, total // shard)
+    wide = math.isqrt(shards - 1) + 1
+    drawn = rows.where(F.pmod("h", F.lit(max(1, total // (shards * DRAWN)))) == 0).select("h", "v")
+    points = np.array([r.v for r in drawn.orderBy("h").limit(wide).collect()], dtype=np.float32).reshape(-1, dim)
+    if not len(points):
+        points = np.array([r.v for r in rows.orderBy("h").limit(1).select("v").collect()], dtype=np.float32).reshape(-1, dim)
+    reach = route * math.sqrt(max(0.0, 2.0 - 2.0 * minimum))
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = distance(_matrix(batch.column(1), dim) @ points.T)
-            least = d.min(axis=1)
-            home = d.argmin(axis=1)
-            row, cell = np.nonzero((d - least[:, None]) / 2 <= route * radius)
+            row, cell, home = _routes(_matrix(batch.column(1), dim), points, 0.0)
+            where = np.zeros(batch.num_rows, np.int32)
+            where[row[home]] = cell[home]
+            yield pa.RecordBatch.from_arrays([pa.array(where), batch.column(0), batch.column(1)], names=["cell", "h", "v"])
+
+    sample = drawn.mapInArrow(at_home, "cell int, h long, v array<float>")
+    per = max(1.0, total / max(1, shards * DRAWN))  # vectors that one drawn stands for
+    crowd = {r.cell: r["count"] * per for r in sample.groupBy("cell").count().collect()}  # one row per point
+    blocks = np.array([max(1, math.ceil(crowd.get(c, 1) / group)) for c in range(max(1, len(points)))], dtype=np.int64)
+    room = {c: min(CELL, max(1, round(n / shard))) for c, n in crowd.items()}
+    limit = F.row_number().over(W.partitionBy("cell").orderBy("h"))
+
+    def fit(table: pa.Table) -> pa.Table:
+        """The cell's own points, and the blocks each of its shards is searched in."""
+        cell, vectors = table.column("cell")[0].as_py(), _matrix(table.column("v"), dim)
+        own = vectors[: room.get(cell, 1)]
+        row, sub, home = _routes(vectors, own, 0.0)
+        met = np.bincount(sub[home], minlength=len(own)) * (crowd.get(cell, 1) / len(vectors))
+        n = np.maximum(1, np.ceil(met / most)).astype(np.int32)
+        spread = int(blocks[cell])
+        types = [pa.int32(), pa.int32(), pa.list_(pa.float32()), pa.list_(pa.int32())]
+        arrays = [pa.array([cell] * spread, types[0]), pa.array(range(spread), types[1]), pa.array([own.ravel()] * spread, types[2]), pa.array([n] * spread, types[3])]
+        return pa.Table.from_arrays(arrays, names=["cell", "block", "points", "blocks"])
+
+    fitted = sample.withColumn("n", limit).where(F.col("n") <= CELL * DRAWN).drop("n").groupBy("cell").applyInArrow(fit, "cell int, block int, points array<float>, blocks array<int>")
+
+    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, cell, home = _routes(_matrix(batch.column(2), dim), points, reach)
+            block = batch.column(1).to_numpy()[row] % blocks[cell]
             index = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.astype(np.int32)), pa.array(home[row] == cell), batch.column(0).take(index), batch.column(1).take(index)],
-                names=["shard", "home", "id", "v"],
+                [pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(home), *(batch.column(c).take(index) for c in range(3))],
+                names=["cell", "block", "home", "id", "h", "v"],
             )
 
-    routed = held.mapInArrow(assign, f"shard int, home boolean, id {kind}, v array<float>")
-    # blocks of crowded shards: at most POINTS rows reach the driver
-    crowd = {r.shard: math.ceil(r["count"] / MOST) for r in routed.where("home").groupBy("shard").count().where(F.col("count") > MOST).collect()} if total > MOST else {}
-    if crowd:
-        blocks = F.coalesce(F.create_map(*[F.lit(x) for pair in crowd.items() for x in pair])[F.col("shard")], F.lit(1))
-        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        routed = routed.withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-        routed = routed.withColumn("home", F.col("home") & (F.col("own") == F.col("block"))).drop("own")
-    else:
-        routed = routed.withColumn("block", F.lit(0))
+    text = pa.string() if kind == "string" else pa.from_numpy_dtype(np.dtype({"bigint": "int64", "int": "int32"}[kind]))
+    shard_schema = pa.schema([("shard", pa.int64()), ("part", pa.int32()), ("home", pa.bool_()), ("id", text), ("v", pa.list_(pa.float32()))])
+
+    def to_shards(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return shard_schema.empty_table()
+        vectors = _matrix(left.column("v"), dim)
+        if right.num_rows:
+            own, parts = _matrix(right.column("points").chunk(0)[:1], dim), np.array(right.column("blocks")[0].as_py(), dtype=np.int64)
+        else:  # a cell of which no vector was drawn
+            own, parts = np.zeros((1, dim), np.float32), np.ones(1, np.int64)
+        row, sub, near = _routes(vectors, own, reach)
+        near &= left.column("home").to_numpy()[row]
+        # a vector is a member in one block of its shard, and asks in all blocks
+        n = parts[sub]
+        first = np.repeat(np.cumsum(n) - n, n)
+        part = np.arange(n.sum()) - first
+        row, sub, near = np.repeat(row, n), np.repeat(sub, n), np.repeat(near, n)
+        near &= left.column("h").to_numpy()[row] % parts[sub] == part
+        index = pa.array(row)
+        cell = left.column("cell")[0].as_py()
+        return pa.Table.from_arrays(
+            [pa.array(cell * CELL + sub), pa.array(part.astype(np.int32)), pa.array(near), left.column("id").take(index), left.column("v").take(index)], schema=shard_schema
+        )
+
+    cells = held.mapInArrow(to_cells, f"cell int, block int, home boolean, id {kind}, h long, v array<float>")
+    routed = cells.groupBy("cell", "block").cogroup(fitted.groupBy("cell", "block")).applyInArrow(to_shards, f"shard long, part int, home boolean, id {kind}, v array<float>")
 
     def search(table: pa.Table) -> pa.Table:
         vectors, home = _matrix(table.column("v"), dim), table.column("home").to_numpy()
@@ -164,11 +232,11 @@ def most_similar(
         ids = table.column("id")
         return pa.Table.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(c.astype(np.float64))], schema=out_schema)
 
-    text = pa.string() if kind == "string" else pa.from_numpy_dtype(np.dtype({"bigint": "int64", "int": "int32"}[kind]))
     out_schema = pa.schema([("id", text), ("neighbour", text), ("cosine", pa.float64())])
-    pairs = routed.groupBy("shard", "block").applyInArrow(search, f"id {kind}, neighbour {kind}, cosine double")
+    pairs = routed.groupBy("shard", "part").applyInArrow(search, f"id {kind}, neighbour {kind}, cosine double")
     rest = (
-        rows.join(lead.where(F.col("at") == k + 1).select(F.col("copy"), F.col("id").alias("last")), "copy")
+        rows.select("copy", "id")
+        .join(lasts, "copy")
         .where(F.col("id") > F.col("last"))
         .select("id", "copy")
         .join(lead.where(F.col("at") <= k).select("copy", F.col("id").alias("neighbour")), "copy")

@@ -45,6 +45,14 @@ def test_exact_at_one_and_high_recall_below(spark):
     assert len(found & near) >= 0.9 * len(near) and all(v[a] @ v[b] >= 0.8499 for a, b in found)
 
 
+def test_crowded_cells_and_shards_are_searched_in_blocks(spark):
+    v = cloud(1000)
+    v[:330] = v[0] + 0.01 * np.random.default_rng(1).normal(size=(330, 16))  # a third of all in one place
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    found = pairs(most_similar(frame(spark, v), "id", "v", dim=16, route=1.0, factor=1.0, shard=100, most=40, group=60))
+    assert len(found & exact(v, 5)) >= 0.999 * 5000
+
+
 def test_damaged_repeated_and_equal_vectors(spark):
     v = cloud(60)
     bad = [("x1", None, "n"), ("x2", [], "n"), ("x3", [1.0], "n"), ("x4", [0.0] * 16, "n"), ("x5", [float("nan")] * 16, "n")]
