@@ -1,9 +1,9 @@
 """The k most similar vectors of every vector, by vantage-point trees per shard.
 
-Shards are the cells of vantage points on two levels: cells of points drawn from all
-vectors, and in each of them cells of points drawn from its own. Both levels hold about
-as many points, the square root of the number of shards, so neither grows with the
-number of vectors; the points of the second level stay in a table and meet their cell's
+Shards are the cells of vantage points drawn from the vectors, POINTS of them at most
+(16 MB at 64 numbers each, which travel with the tasks). A cell that holds many times
+its share - where vectors crowd, or where there are more than POINTS shards of them - is cut
+again by points drawn from its own vectors; those stay in a table and meet their cell's
 vectors there. A vector lives in the shard of the nearest points. A query visits a cell
 only if the triangle inequality leaves room for a neighbour there: members of cell j lie
 at least (d(q, j) - d(q, nearest)) / 2 away. In a shard a vantage-point tree halves the
@@ -25,10 +25,10 @@ from pagewright.session import cut
 
 #: Members of a shard aimed at, of a tree's leaf, and of one task's block of a shard.
 SHARD, LEAF, MOST = 500, 64, 4000
-#: Vectors drawn per shard to fit the second level; vectors of a cell that one task routes; points of a cell at most.
-DRAWN, GROUP, CELL = 16, 50_000, 4096
-#: Vectors compared with all points at once.
-SLICE = 1024
+#: Points of the first level, at most, and of one cell of the second; a cell of SPLIT shards is cut again.
+POINTS, CELL, SPLIT = 1 << 16, 4096, 8
+#: Vectors drawn per shard to fit the points; vectors of a crowded cell that one task routes; distances made at once.
+DRAWN, GROUP, WORK = 16, 50_000, 1 << 22
 
 
 class Tree:
@@ -112,9 +112,9 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 
 def _routes(vectors: np.ndarray, points: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, whether it is the nearest) of the cells in which a row can have neighbours within ``reach``."""
-    out = []
-    for at in range(0, len(vectors), SLICE):
-        d = distance(vectors[at : at + SLICE] @ points.T)
+    out, step = [], max(16, WORK // len(points))
+    for at in range(0, len(vectors), step):
+        d = distance(vectors[at : at + step] @ points.T)
         least, home = d.min(axis=1), d.argmin(axis=1)
         row, cell = np.nonzero((d - least[:, None]) / 2 <= reach)
         out.append((row + at, cell, home[row] == cell))
@@ -145,11 +145,12 @@ def most_similar(
     held = rows.join(lasts, "copy", "left").where(F.col("last").isNull() | (F.col("id") <= F.col("last"))).select("id", "h", "v")
     total = rows.count()
     shards = max(1, total // shard)
-    wide = math.isqrt(shards - 1) + 1
+    wide = min(POINTS, shards)
     drawn = rows.where(F.pmod("h", F.lit(max(1, total // (shards * DRAWN)))) == 0).select("h", "v")
-    points = np.array([r.v for r in drawn.orderBy("h").limit(wide).collect()], dtype=np.float32).reshape(-1, dim)
-    if not len(points):
-        points = np.array([r.v for r in rows.orderBy("h").limit(1).select("v").collect()], dtype=np.float32).reshape(-1, dim)
+    chosen = drawn.orderBy("h").limit(wide).select("v").toArrow()
+    if not chosen.num_rows:
+        chosen = rows.orderBy("h").limit(1).select("v").toArrow()
+    points = _matrix(chosen.column("v"), dim)
     reach = route * math.sqrt(max(0.0, 2.0 - 2.0 * minimum))
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +164,7 @@ def most_similar(
     per = max(1.0, total / max(1, shards * DRAWN))  # vectors that one drawn stands for
     crowd = {r.cell: r["count"] * per for r in sample.groupBy("cell").count().collect()}  # one row per point
     blocks = np.array([max(1, math.ceil(crowd.get(c, 1) / group)) for c in range(max(1, len(points)))], dtype=np.int64)
-    room = {c: min(CELL, max(1, round(n / shard))) for c, n in crowd.items()}
+    room = {c: min(CELL, round(n / shard)) if n > SPLIT * shard else 1 for c, n in crowd.items()}
     limit = F.row_number().over(W.partitionBy("cell").orderBy("h"))
 
     def fit(table: pa.Table) -> pa.Table:
@@ -216,7 +217,10 @@ def most_similar(
         )
 
     cells = held.mapInArrow(to_cells, f"cell int, block int, home boolean, id {kind}, h long, v array<float>")
-    routed = cells.groupBy("cell", "block").cogroup(fitted.groupBy("cell", "block")).applyInArrow(to_shards, f"shard long, part int, home boolean, id {kind}, v array<float>")
+    if max(room.values(), default=1) > 1 or blocks.max() > 1:
+        routed = cells.groupBy("cell", "block").cogroup(fitted.groupBy("cell", "block")).applyInArrow(to_shards, f"shard long, part int, home boolean, id {kind}, v array<float>")
+    else:  # no cell is cut again: the second level would be the first
+        routed = cells.select(F.col("cell").cast("long").alias("shard"), F.lit(0).alias("part"), "home", "id", "v")
 
     def search(table: pa.Table) -> pa.Table:
         vectors, home = _matrix(table.column("v"), dim), table.column("home").to_numpy()
