@@ -6,10 +6,12 @@ is by window blocks (see ``ordered``), never by gathering a file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagewright.functions import dates as D, text as T
+from pagewright.operators import media as M
 from pagewright.operators.ordered import with_neighbours, with_running
+from pagewright.session import cut
 
 def _none() -> Column:
     return F.array().cast("array<string>")
@@ -67,7 +69,7 @@ def segment(lines: DataFrame) -> DataFrame:
     text. Null lines count as empty.
     """
     lines = lines.withColumn("line", F.coalesce("line", F.lit("")))
-    marked = mark_starts(lines)
+    marked = cut(mark_starts(lines))  # read for the starts, the bodies and the files
     name = D.file_trip(F.col("file"))
     starts = marked.where(F.col("date").isNotNull()).select(
         "file", "idx", F.col("date.month").alias("month"), F.col("date.day").alias("day"), F.col("date.year").alias("inline_year"),
@@ -146,6 +148,67 @@ def chronology(entries: DataFrame, group: str, order: str, date: str) -> DataFra
     return passed.where(F.size("chronology") > 0)
 
 
+def photo_lists(entries: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """``entries`` of ``segment`` with photos (path, source, resolved) in place of links and inline_refs, and chars.
+
+    Links come first, each as often as it stands; then references in the text, several
+    between commas, those with a suffix and a path not met in the entry before. Paths are
+    looked up among ``media`` (path); without it they are unchecked. An entry without
+    any says no_photos.
+    """
+    parts = F.flatten(F.transform("inline_refs", lambda r: F.split(F.btrim(r, F.lit("() ")), r"\s*,\s*")))
+    inline = F.filter(parts, lambda x: F.contains(x, F.lit(".")))
+    link, ref = F.lit("link").alias("source"), F.lit("inline").alias("source")
+    said = F.concat(F.transform("links", lambda x: F.struct(x.alias("raw"), link)), F.transform(inline, lambda x: F.struct(x.alias("raw"), ref)))
+    rows = entries.select("id", D.file_trip(F.col("source_file"))["year"].alias("year"), F.posexplode(said).alias("at", "p"))
+    rows = rows.select("id", "year", "at", "p.source", T.normalise_path(F.col("p.raw")).alias("path")).where("path <> ''")
+    found = rows.withColumns({"resolved": F.col("path"), "how": F.lit("unchecked")}) if media is None else M.resolve(rows, media)
+    first = F.row_number().over(W.partitionBy("id", "resolved").orderBy("at")) == 1
+    kept = found.withColumn("_first", first).where(F.col("_first") | (F.col("source") == "link"))
+    photo = F.struct("at", F.col("resolved").alias("path"), "source", F.col("how").alias("resolved"))
+    photos = kept.groupBy("id").agg(F.array_sort(F.collect_list(photo)).alias("_photos"))
+    joined = entries.join(photos, "id", "left")
+    shown = F.transform(F.coalesce("_photos", F.array().cast(photos.schema["_photos"].dataType)), lambda p: F.struct(p["path"].alias("path"), p["source"].alias("source"), p["resolved"].alias("resolved")))
+    return joined.withColumns(
+        {"photos": shown, "chars": F.length("text"), "warnings": F.concat("warnings", _flag(F.col("_photos").isNull(), "no_photos"))}
+    ).drop("_photos", "links", "inline_refs")
+
+
+def flag_chronology(entries: DataFrame) -> DataFrame:
+    """``entries`` (source_file, idx, entry_date, warnings) with warnings about sequence made anew."""
+    kept = F.filter("warnings", lambda w: ~w.rlike(_SEQUENCE))
+    found = chronology(entries, "source_file", "idx", "entry_date")
+    joined = entries.join(found, ["source_file", "idx"], "left")
+    return joined.withColumn("warnings", F.concat(kept, F.coalesce("chronology", _none()))).drop("chronology")
+
+
+def convert(lines: DataFrame, media: DataFrame | None = None, corrections: DataFrame | None = None) -> DataFrame:
+    """Entries of all journals' lines: id, source_file, idx, trip, entry_date, month_day, text, photos, chars, warnings.
+
+    ``media`` has path and date: links are looked up among its paths, and files of an
+    entry's day that its journal links nowhere are attached. ``corrections`` has
+    entry_id and entry_date; warnings about sequence hold after it.
+    """
+    # each step reads what came before it more than once, so that is written in between
+    entries = cut(photo_lists(cut(segment(lines)), None if media is None else media.select("path")))
+    entries = cut(flag_chronology(entries))
+    if media is not None:
+        entries = cut(M.with_attached(entries, M.attach_by_day(entries, media.where("date IS NOT NULL"))))
+    if corrections is not None:
+        entries = flag_chronology(cut(apply_corrections(entries, corrections)[0]))
+    return entries.select("id", "source_file", "idx", "trip", "entry_date", "month_day", "text", "photos", "chars", "warnings")
+
+
+def conversion_report(entries: DataFrame) -> DataFrame:
+    """(what, kind, n): entries, undated ones, photos by how they were found, warnings by kind."""
+    total = entries.agg(F.count("*").alias("entries"), F.count_if(F.col("entry_date").isNull()).alias("undated"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
+    rows = total.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("entries", "undated", "chars"))), F.array("entries", "undated", "chars"))).alias("kind", "n"))
+    photos = entries.select(F.explode("photos.resolved").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    said = warning_counts(entries).select(F.col("warning").alias("kind"), F.col("entries").alias("n"))
+    parts = [df.select(F.lit(what).alias("what"), "kind", "n") for what, df in (("total", rows), ("photos", photos), ("warnings", said))]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 _SEQUENCE = r"^(?:date_out_of_sequence|suspect_month_typo|duplicate_date)"
 
 

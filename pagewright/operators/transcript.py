@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagewright.functions import text as T
 from pagewright.operators.ordered import with_running
@@ -36,29 +36,46 @@ def is_user_turn(text: Column) -> Column:
 
 
 def _events(events: DataFrame) -> DataFrame:
+    """One row per line of a file: project, log_file, line_no, place, turn, skipped, reply, text.
+
+    ``place`` numbers a project's lines over its files, which follow each other by when they
+    were last written (``written``, or the latest ``ts``) and name.
+    """
     kind = F.lower(F.trim(F.coalesce("type", "message.role")))
     text = F.regexp_replace(message_text(F.col("message.content")), r"(?U)^\s+|\s+$", "")
-    rows = events.select("log_file", "line_no", F.when(kind == "human", "user").otherwise(kind).alias("kind"), text.alias("text"))
-    rows = rows.groupBy("log_file", "line_no").agg(F.min(F.struct("kind", "text")).alias("m")).select("log_file", "line_no", "m.*")
+    project = F.col("project") if "project" in events.columns else F.lit("").alias("project")
+    written = next((F.col(c) for c in ("written", "ts") if c in events.columns), F.lit(0)).alias("written")
+    rows = events.select(project, "log_file", "line_no", written, F.when(kind == "human", "user").otherwise(kind).alias("kind"), text.alias("text"))
+    files = rows.groupBy("project", "log_file").agg(F.max("written").alias("written"), F.max("line_no").cast("bigint").alias("lines"))
+    order = W.partitionBy("project").orderBy("written", "log_file").rowsBetween(W.unboundedPreceding, -1)
+    files = files.select(F.col("project").alias("_p"), F.col("log_file").alias("_f"), F.coalesce(F.sum("lines").over(order), F.lit(0)).alias("before"))
+    rows = rows.groupBy("project", "log_file", "line_no").agg(F.min(F.struct("kind", "text")).alias("m")).select("project", "log_file", "line_no", "m.*")
+    rows = rows.join(files, F.equal_null("project", "_p") & F.equal_null("log_file", "_f")).drop("_p", "_f")
     said = F.coalesce(F.col("text"), F.lit("")) != ""
     user = (F.col("kind") == "user") & said
+    own = is_user_turn(F.col("text"))
     return rows.withColumns(
-        {"turn": F.coalesce(user & is_user_turn(F.col("text")), F.lit(False)), "skipped": F.coalesce(user & ~is_user_turn(F.col("text")), F.lit(False)), "reply": F.coalesce((F.col("kind") == "assistant") & said, F.lit(False))}
-    )
+        {
+            "place": F.col("before") + F.col("line_no"),
+            "turn": F.coalesce(user & own, F.lit(False)),
+            "skipped": F.coalesce(user & ~own, F.lit(False)),
+            "reply": F.coalesce((F.col("kind") == "assistant") & said, F.lit(False)),
+        }
+    ).drop("before")
 
 
 def turns(events: DataFrame) -> DataFrame:
-    """(log_file, turn, prompt, shell, replies): each user's message with the replies up to the next.
+    """(project, turn, prompt, shell, replies): each user's message with the replies up to the next, over a project's files.
 
-    Replies before a file's first turn are dropped; injected messages open none.
-    Repeated lines count once; unreadable ones say nothing.
+    A reply in a later file belongs to the last turn before it; replies before a project's first
+    turn are dropped; injected messages open none. Repeated lines count once; unreadable ones say nothing.
     """
-    rows = with_running(_events(events), "log_file", "line_no", {"n": F.col("turn")}).where("n > 0 AND (turn OR reply)")
+    rows = with_running(_events(events), "project", "place", {"n": F.col("turn")}).where("n > 0 AND (turn OR reply)")
     prompt = F.max(F.when(F.col("turn"), F.col("text")))
-    replies = F.transform(F.array_sort(F.collect_list(F.when(F.col("reply"), F.struct("line_no", "text")))), lambda r: r["text"])
-    whole = rows.groupBy("log_file", F.col("n").alias("turn")).agg(prompt.alias("said"), replies.alias("replies"))
+    replies = F.transform(F.array_sort(F.collect_list(F.when(F.col("reply"), F.struct("place", "text")))), lambda r: r["text"])
+    whole = rows.groupBy("project", F.col("n").alias("turn")).agg(prompt.alias("said"), replies.alias("replies"))
     command = T.shell_command(F.col("said"))
-    return whole.select("log_file", "turn", F.coalesce(command, "said").alias("prompt"), command.isNotNull().alias("shell"), "replies")
+    return whole.select("project", "turn", F.coalesce(command, "said").alias("prompt"), command.isNotNull().alias("shell"), "replies")
 
 
 def counts(events: DataFrame) -> DataFrame:
@@ -71,7 +88,7 @@ def counts(events: DataFrame) -> DataFrame:
 
 
 def render(made: DataFrame) -> DataFrame:
-    """(log_file, turn, text): turns as readable text."""
+    """(project, turn, text): turns as readable text."""
     who = F.when(F.col("shell"), "YOU (in the shell)").otherwise("YOU")
     body = F.when(F.size("replies") > 0, F.concat(F.lit("\n\nREPLY\n\n"), F.array_join("replies", "\n\n"))).when(F.col("shell"), "").otherwise("\n\n[no reply recorded]")
-    return made.select("log_file", "turn", F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), who, F.lit("\n\n"), "prompt", body).alias("text"))
+    return made.select("project", "turn", F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), who, F.lit("\n\n"), "prompt", body).alias("text"))

@@ -69,8 +69,8 @@ def near_dates(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT DISTINCT source_file, CASE WHEN regexp_matches(stem, '^(.+?)\s*-\s*(\d{4})\s*$') THEN trim(regexp_extract(stem, '^(.+?)\s*-\s*(\d{4})\s*$', 1)) ELSE stem END AS trip,
-  TRY_CAST(nullif(regexp_extract(stem, '^(.+?)\s*-\s*(\d{4})\s*$', 2), '') AS INTEGER) AS year,
+SELECT DISTINCT source_file, CASE WHEN regexp_matches(stem, '^(.*\S)\s*-\s*([0-9]{4})\s*$') THEN trim(regexp_extract(stem, '^(.*\S)\s*-\s*([0-9]{4})\s*$', 1)) ELSE stem END AS trip,
+  TRY_CAST(nullif(regexp_extract(stem, '^(.*\S)\s*-\s*([0-9]{4})\s*$', 2), '') AS INTEGER) AS year,
   trim(regexp_replace(lower(stem), '[^a-z0-9]+', '-', 'g'), '-') AS slug
 FROM (SELECT source_file, regexp_replace(source_file, '\.[^.]*$', '') AS stem FROM entries)""")
 def file_names(s: SparkSession, d: str) -> DataFrame:
@@ -295,6 +295,78 @@ def reconstructed_days(s: SparkSession, d: str) -> DataFrame:
     return M.reconstruct(files).select("id", "trip", "entry_date", F.size("photos").alias("photos"), F.array_join("warnings", ";").alias("warnings"), "text")
 
 
+# journals to entries
+
+
+def journal_lines(s: SparkSession, d: str) -> DataFrame:
+    """The documents as journals: a file each, named after its id and, but for every third, a year; every line a paragraph with its photo link."""
+    docs = table(s, d, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    name = F.concat(F.lit("page "), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit(" - "), (1990 + F.col("doc_id") % 30).cast("string"))).otherwise(""), F.lit(".docx"))
+    rows = docs.select("doc_id", name.alias("file"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    link = F.concat(F.lit("../pictures/p"), (F.col("line_no") % 5).cast("string"), F.lit(".jpg"))
+    return rows.select("file", "line_no", "line", F.when((F.col("doc_id") + F.col("line_no")) % 4 == 0, F.array(link)).otherwise(F.array().cast("array<string>")).alias("links"), F.lit(True).alias("new_par"))
+
+
+_HEAD = D.HEAD.replace("'", "''")
+_SEGMENTED = rf"""
+j AS (SELECT 'page ' || doc_id || CASE WHEN doc_id % 3 > 0 THEN ' - ' || (1990 + doc_id % 30) ELSE '' END || '.docx' AS file, CASE WHEN doc_id % 3 > 0 THEN CAST(1990 + doc_id % 30 AS INTEGER) END AS base_year, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, trim(line) AS t, regexp_extract(trim(line), '{_HEAD}', 1) AS head, regexp_extract(trim(line), '{_HEAD}', 2) AS rest FROM j),
+p1 AS (SELECT *, regexp_matches(t, '{_DATE}') AND TRY_CAST(regexp_extract(t, '{_DATE}', 2) AS INTEGER) BETWEEN 1 AND 31 AND coalesce(TRY_CAST(nullif(regexp_extract(t, '{_DATE}', 3), '') AS INTEGER) BETWEEN 1900 AND 2100, true) AS whole,
+  regexp_matches(head, '{_DATE}') AND TRY_CAST(regexp_extract(head, '{_DATE}', 2) AS INTEGER) BETWEEN 1 AND 31 AND rest <> '' AS part FROM w),
+p2 AS (SELECT *, whole OR part AS dated, CASE WHEN whole THEN t WHEN part THEN head END AS said FROM p1),
+p3 AS (SELECT *, count(*) FILTER (dated) OVER (PARTITION BY file ORDER BY line_no) AS idx, CAST(list_position({_ABBR}, lower(substr(regexp_extract(said, '{_DATE}', 1), 1, 3))) AS INTEGER) AS month,
+  TRY_CAST(regexp_extract(said, '{_DATE}', 2) AS INTEGER) AS day, CASE WHEN whole THEN TRY_CAST(nullif(regexp_extract(said, '{_DATE}', 3), '') AS INTEGER) END AS inline_year, max(dated) OVER (PARTITION BY file) AS any_date FROM p2),
+blk AS (SELECT file, idx, string_agg(CASE WHEN part AND NOT whole THEN rest ELSE line END, chr(10) || chr(10) ORDER BY line_no) AS body, list(CASE WHEN (doc_id + line_no) % 4 = 0 THEN 'pictures/p' || (line_no % 5) || '.jpg' END ORDER BY line_no) AS links FROM p3 WHERE NOT dated OR (part AND NOT whole) GROUP BY 1, 2),
+st AS (SELECT *, lag(month) OVER f AS pm, count(inline_year) OVER (f ROWS UNBOUNDED PRECEDING) AS seg FROM p3 WHERE dated WINDOW f AS (PARTITION BY file ORDER BY idx)),
+sb AS (SELECT *, coalesce(pm >= 11 AND month <= 2 AND inline_year IS NULL, false) AS turn, max(inline_year) OVER (PARTITION BY file, seg) AS sy FROM st),
+sc AS (SELECT *, sum(turn::INT) OVER (PARTITION BY file, seg ORDER BY idx ROWS UNBOUNDED PRECEDING) AS n, coalesce(sy, base_year) AS start FROM sb),
+sd AS (SELECT file, idx, month, day, part AND NOT whole AS inl, start + CASE WHEN base_year IS NULL THEN n ELSE least(n, greatest(base_year + 1 - start, 0)) END AS year,
+  CASE WHEN inline_year IS NOT NULL THEN 'year_from_entry' WHEN turn AND start IS NOT NULL AND (base_year IS NULL OR n <= greatest(base_year + 1 - start, 0)) THEN 'year_rollover' WHEN month < pm AND start IS NOT NULL THEN 'out_of_order' END AS yw FROM sc),
+ee AS (SELECT coalesce(sd.file, blk.file) AS file, coalesce(sd.idx, blk.idx) AS idx, sd.month, sd.day, sd.inl, sd.yw, coalesce(body, '') AS body, links, CASE WHEN sd.year IS NOT NULL AND month IS NOT NULL THEN printf('%04d-%02d-%02d', sd.year, month, day) END AS entry_date
+  FROM sd FULL JOIN (SELECT * FROM blk WHERE file IN (SELECT file FROM sd)) blk ON sd.file = blk.file AND sd.idx = blk.idx),
+ef AS (SELECT *, trim(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(body, '{_REF}', ' ', 'g'), '\s*\(\s*\)', '', 'g'), '\s+([,.;:!?])', '\1', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), chr(10)),
+  '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text,
+  CASE WHEN TRY_CAST(entry_date AS DATE) IS NULL AND TRY_CAST(substr(entry_date, 1, 7) || '-01' AS DATE) IS NOT NULL THEN strftime(last_day(CAST(substr(entry_date, 1, 7) || '-01' AS DATE)), '%Y-%m-%d') END AS suggest FROM ee)"""
+
+
+@query(rf"""WITH {_SEGMENTED}
+SELECT trim(regexp_replace(lower(regexp_replace(file, '\.[^.]*$', '')), '[^a-z0-9]+', '-', 'g'), '-') || '#' || lpad(CAST(idx AS VARCHAR), 4, '0') AS id, entry_date, CASE WHEN idx = 0 THEN '' ELSE printf('%02d-%02d', month, day) END AS month_day, md5(text) AS digest,
+  array_to_string(list_filter([CASE WHEN idx = 0 THEN 'preamble' END, yw, CASE WHEN inl THEN 'date_on_same_line' END, 'invalid_date:suggest=' || suggest], lambda x: x IS NOT NULL), ';') AS warnings
+FROM ef WHERE idx > 0 OR text <> ''""")
+def segmented_entries(s: SparkSession, d: str) -> DataFrame:
+    """Entries of the documents' lines: date lines, years, warnings and bodies."""
+    return E.segment(journal_lines(s, d)).select("id", "entry_date", "month_day", F.md5("text").alias("digest"), F.array_join("warnings", ";").alias("warnings"))
+
+
+def picture_files(s: SparkSession, d: str) -> DataFrame:
+    """Picture files p0 to p2, of which p1 lies in two folders, and a dated one for every day of the entries table."""
+    days = table(s, d, "entries").where(D.is_valid(F.col("entry_date"))).select("entry_date").distinct()
+    dated = days.select(F.concat(F.lit("days/"), F.replace("entry_date", F.lit("-"), F.lit("")), F.lit(".jpg")).alias("path"), F.col("entry_date").alias("date"))
+    plain = s.createDataFrame([("pictures/p0.jpg",), ("2001/fen/p1.jpg",), ("2002/fen/p1.jpg",), ("2003/moor/p2.jpg",)], "path string").withColumn("date", F.lit(None).cast("string"))
+    return plain.unionByName(dated)
+
+
+@query(rf"""WITH {_SEGMENTED},
+days AS (SELECT DISTINCT entry_date AS date, 'days/' || replace(entry_date, '-', '') || '.jpg' AS path FROM entries WHERE regexp_matches(entry_date, '^\d{{4}}-\d{{2}}-\d{{2}}$') AND TRY_CAST(entry_date AS DATE) IS NOT NULL),
+ph AS (SELECT file, idx, CASE l WHEN 'pictures/p0.jpg' THEN l || ':link:exact' WHEN 'pictures/p2.jpg' THEN '2003/moor/p2.jpg:link:basename' WHEN 'pictures/p1.jpg' THEN l || ':link:ambiguous' ELSE l || ':link:missing' END AS p, i FROM (SELECT file, idx, unnest(links) AS l, generate_subscripts(links, 1) AS i FROM ef WHERE idx > 0 OR text <> '') WHERE l IS NOT NULL
+  UNION ALL SELECT file, idx, days.path || ':date:exact', 1000000 FROM ef JOIN days ON ef.entry_date = days.date WHERE idx > 0),
+pp AS (SELECT file, idx, string_agg(p, ',' ORDER BY i, p) AS photos, bool_or(i = 1000000) AS by_date FROM ph GROUP BY 1, 2)
+SELECT trim(regexp_replace(lower(regexp_replace(file, '\.[^.]*$', '')), '[^a-z0-9]+', '-', 'g'), '-') || '#' || lpad(CAST(idx AS VARCHAR), 4, '0') AS id, coalesce(photos, '') AS photos, photos IS NULL AS none, coalesce(by_date, false) AS by_date
+FROM ef LEFT JOIN pp USING (file, idx) WHERE idx > 0 OR text <> ''""")
+def converted_photos(s: SparkSession, d: str) -> DataFrame:
+    """The photos of entries made of the documents: links looked up among files, and files of the entry's day."""
+    made = E.convert(journal_lines(s, d), picture_files(s, d))
+    shown = F.transform("photos", lambda p: F.concat_ws(":", p["path"], p["source"], p["resolved"]))
+    return made.select("id", F.array_join(shown, ",").alias("photos"), F.array_contains("warnings", "no_photos").alias("none"), F.array_contains("warnings", "photos_by_date").alias("by_date"))
+
+
+@query()
+def conversion_report(s: SparkSession, d: str) -> DataFrame:
+    """What the conversion of the documents came to; every tenth entry has a reviewed date."""
+    fixes = E.segment(journal_lines(s, d)).where("idx % 10 = 1").select(F.col("id").alias("entry_id"), F.coalesce("entry_date", F.lit("2000-01-01")).alias("entry_date"))
+    return E.conversion_report(E.convert(journal_lines(s, d), picture_files(s, d), fixes))
+
+
 # chunks and index
 
 

@@ -63,8 +63,11 @@ def query_words(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "questions").select("question_id", F.array_join(T.content_words(q, 3), " ").alias("words"), T.is_short_query(q).alias("short")).distinct()
 
 
-@query(r"""SELECT DISTINCT gen_id, regexp_matches(coalesce(answer, ''), '(?i)can''?t find that in the journals|not in the journals|do(?:es)? not (?:appear|contain)|no mention') AS refused,
-  array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(answer, ''), '\d{4}-\d{2}-\d{2}'))), ',') AS cited FROM gen_results""")
+_REFUSING = T.REFUSAL.replace("'", "''")
+
+
+@query(rf"""SELECT DISTINCT gen_id, regexp_matches(coalesce(answer, ''), '{_REFUSING}') AS refused,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(answer, ''), '\d{{4}}-\d{{2}}-\d{{2}}'))), ',') AS cited FROM gen_results""")
 def answer_marks(s: SparkSession, d: str) -> DataFrame:
     text = F.coalesce("answer", F.lit(""))
     return table(s, d, "gen_results").select("gen_id", T.is_refusal(text).alias("refused"), F.array_join(T.citations(text), ",").alias("cited")).distinct()
@@ -136,12 +139,6 @@ def vector_topk_filtered(s: SparkSession, d: str) -> DataFrame:
     return found.select("q", "vec_id", F.round("distance", 5).alias("distance"), "rank")
 
 
-@query()
-def nearest_chunks(s: SparkSession, d: str) -> DataFrame:
-    """The chunks nearest to each question's vector; damaged vectors take no part."""
-    return R.nearest(vectors_of(s, d), asked(s, d, True), 10, DIM).withColumn("distance", F.round("distance", 5))
-
-
 _BM25 = f"""
 q AS (SELECT q, unnest(list_distinct(list_filter({_TOK.format('query')}, lambda t: NOT list_contains({_STOP}, t)))) AS term FROM {_ASKED}),
 tok AS (SELECT chunk_id, {_TOK.format('text')} AS toks FROM {_CHUNKS}), p AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(toks) AS term FROM tok) GROUP BY ALL),
@@ -162,6 +159,12 @@ _VEC = f"""
 qv AS (SELECT q, query, expected, wrong, embedding::DOUBLE[] AS qv FROM {_ASKED} a JOIN embeddings e ON e.vec_id = a.q % (SELECT count(*) FROM embeddings)),
 cv AS (SELECT DISTINCT chunk_id, vector::DOUBLE[] AS v FROM chunks WHERE {_FINE}),
 n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(distance, 9), chunk_id) AS rank FROM (SELECT q, chunk_id, sqrt(greatest(0, 2 - 2 * {_SIM})) AS distance FROM qv, cv))"""
+@query(f"WITH {_VEC} SELECT q, chunk_id, round(distance, 5) AS distance, rank FROM n WHERE rank <= 10")
+def nearest_chunks(s: SparkSession, d: str) -> DataFrame:
+    """The chunks nearest to each question's vector; damaged vectors take no part."""
+    return R.nearest(vectors_of(s, d), asked(s, d, True), 10, DIM).withColumn("distance", F.round("distance", 5))
+
+
 _RRF = """
 r AS (SELECT q, chunk_id, round(sum(1.0 / (60 + rank)), 12) AS rrf, min(rank) FILTER (k = 0) AS r0, min(rank) FILTER (k = 1) AS r1 FROM (
   SELECT q, chunk_id, rank, 0 AS k FROM n WHERE rank <= 20 UNION ALL SELECT q, chunk_id, rank, 1 FROM b WHERE rank <= 20) GROUP BY 1, 2),
@@ -318,12 +321,9 @@ def answer_labels(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT count(*) FILTER (absent AND coalesce(refused, false)) AS refused_absent, count(*) FILTER (absent) AS absent, count(*) FILTER (NOT absent AND len(cited_right) > 0) AS grounded, count(*) FILTER (NOT absent) AS real,
   count(*) FILTER (NOT absent AND len(cited_wrong) > 0 AND NOT coalesce(refused, false)) AS cited_known_wrong, count(*) FILTER (NOT absent AND refused) AS refused_real, count(*) FILTER (NOT absent AND uncited) AS uncited_real,
-  round(median(seconds), 1) AS median_seconds, count(*) FILTER (NOT absent AND len(says) > 0) AS content_checked, count(*) FILTER (NOT absent AND len(says) > 0 AND NOT len(says_missing) > 0) AS content_complete FROM {_GEN}""".replace(" AND uncited)", " AND uncited)"))
+  round(median(seconds), 1) AS median_seconds, count(*) FILTER (NOT absent AND len(says) > 0) AS content_checked, count(*) FILTER (NOT absent AND len(says) > 0 AND NOT len(says_missing) > 0) AS content_complete FROM {_GEN}""")
 def answer_summary(s: SparkSession, d: str) -> DataFrame:
-    rows = gen(s, d)
-    if dict(rows.dtypes)["says"] == "string":
-        rows = rows.withColumn("says", F.when(F.trim(F.coalesce("says", F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.array("says")))
-    return X.answer_summary(rows)
+    return X.answer_summary(gen(s, d))
 
 
 # staging, privacy, transcripts
@@ -403,22 +403,23 @@ def pattern_scan(s: SparkSession, d: str) -> DataFrame:
 
 _INJ = " OR ".join("contains(substr(text, 1, 200), '" + m.replace("'", "''") + "')" for m in L.INJECTED)
 _EVENTS = rf"""
-l AS (SELECT DISTINCT log_file, line_no, CASE lower(trim(coalesce(type, message.role))) WHEN 'human' THEN 'user' ELSE lower(trim(coalesce(type, message.role))) END AS kind, message.content AS c,
+l AS (SELECT DISTINCT project, log_file, line_no, max(ts) OVER (PARTITION BY project, log_file) AS written, CASE lower(trim(coalesce(type, message.role))) WHEN 'human' THEN 'user' ELSE lower(trim(coalesce(type, message.role))) END AS kind, message.content AS c,
   regexp_matches(coalesce(message.content, ''), '^\s*\[\s*(\{{|\]|$)') AS listed FROM log_events),
-x AS (SELECT log_file, line_no, kind, trim(CASE WHEN listed AND json_valid(c) THEN array_to_string(list_transform(list_filter(CAST(c AS JSON[]), lambda b: b->>'type' = 'text'), lambda b: b->>'text'), chr(10))
+x AS (SELECT project, log_file, line_no, kind, trim(CASE WHEN listed AND json_valid(c) THEN array_to_string(list_transform(list_filter(CAST(c AS JSON[]), lambda b: b->>'type' = 'text'), lambda b: b->>'text'), chr(10))
   WHEN NOT listed THEN c END, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM l),
 y AS (SELECT *, kind = 'user' AND coalesce(text, '') <> '' AND NOT ({_INJ}) AS turn, kind = 'user' AND coalesce(text, '') <> '' AND ({_INJ}) AS skip, kind = 'assistant' AND coalesce(text, '') <> '' AS reply FROM x),
-z AS (SELECT *, count(*) FILTER (turn) OVER (PARTITION BY log_file ORDER BY line_no) AS n FROM y),
-t AS (SELECT log_file, n AS turn, max(text) FILTER (turn) AS prompt, count(*) FILTER (reply) AS replies, md5(coalesce(string_agg(text, chr(10) ORDER BY line_no) FILTER (reply), '')) AS said FROM z WHERE n > 0 AND (turn OR reply) GROUP BY 1, 2)"""
+w AS (SELECT project, log_file, max(written) AS written FROM l GROUP BY ALL),
+z AS (SELECT y.*, count(*) FILTER (turn) OVER (PARTITION BY project ORDER BY written, log_file, line_no) AS n, row_number() OVER (PARTITION BY project ORDER BY written, log_file, line_no) AS place FROM y JOIN w USING (project, log_file)),
+t AS (SELECT project, n AS turn, max(text) FILTER (turn) AS prompt, count(*) FILTER (reply) AS replies, md5(coalesce(string_agg(text, chr(10) ORDER BY place) FILTER (reply), '')) AS said FROM z WHERE n > 0 AND (turn OR reply) GROUP BY 1, 2)"""
 
 
 _SHELL = "regexp_matches(prompt, '(?s)^<bash-input>.*?</bash-input>')"
 
 
-@query(f"WITH {_EVENTS} SELECT log_file, turn, CASE WHEN {_SHELL} THEN trim(regexp_extract(prompt, '(?s)^<bash-input>(.*?)</bash-input>', 1)) ELSE prompt END AS prompt, replies, said FROM t")
+@query(f"WITH {_EVENTS} SELECT project, turn, CASE WHEN {_SHELL} THEN trim(regexp_extract(prompt, '(?s)^<bash-input>(.*?)</bash-input>', 1)) ELSE prompt END AS prompt, replies, said FROM t")
 def transcript_turns(s: SparkSession, d: str) -> DataFrame:
     made = L.turns(table(s, d, "log_events"))
-    return made.select("log_file", "turn", "prompt", F.size("replies").cast("bigint").alias("replies"), F.md5(F.array_join("replies", "\n")).alias("said"))
+    return made.select("project", "turn", "prompt", F.size("replies").cast("bigint").alias("replies"), F.md5(F.array_join("replies", "\n")).alias("said"))
 
 
 @query(f"WITH {_EVENTS} SELECT (SELECT count(*) FROM t) AS exchanges, (SELECT count(*) FROM t WHERE {_SHELL}) AS shell_commands, (SELECT count(*) FROM t WHERE replies = 0 AND NOT {_SHELL}) AS unanswered, (SELECT count(*) FROM y WHERE skip) AS skipped")
@@ -426,13 +427,15 @@ def transcript_counts(s: SparkSession, d: str) -> DataFrame:
     return L.counts(table(s, d, "log_events"))
 
 
-@query()
+@query(f"""WITH {_EVENTS}, b AS (SELECT project, n AS turn, string_agg(text, chr(10) || chr(10) ORDER BY place) FILTER (reply) AS body FROM z WHERE n > 0 AND (turn OR reply) GROUP BY 1, 2)
+SELECT project, turn, '[' || turn || '] ' || CASE WHEN {_SHELL} THEN 'YOU (in the shell)' ELSE 'YOU' END || chr(10) || chr(10) || CASE WHEN {_SHELL} THEN trim(regexp_extract(prompt, '(?s)^<bash-input>(.*?)</bash-input>', 1)) ELSE prompt END
+  || CASE WHEN body IS NOT NULL THEN chr(10) || chr(10) || 'REPLY' || chr(10) || chr(10) || body WHEN {_SHELL} THEN '' ELSE chr(10) || chr(10) || '[no reply recorded]' END AS text FROM t JOIN b USING (project, turn)""")
 def transcript_text(s: SparkSession, d: str) -> DataFrame:
-    """Turns as readable text."""
+    """Turns as readable text, over a project's files."""
     return L.render(L.turns(table(s, d, "log_events")))
 
 
-@query()
+@query("SELECT DISTINCT chunk_id, CAST(64 AS INTEGER) AS dim FROM chunks")
 def embedded_chunks(s: SparkSession, d: str) -> DataFrame:
     """Chunks embedded by the embedder without a model."""
     return I.embed(chunks(s, d, "text"), I.hashed_words(DIM)).select("chunk_id", F.size("vector").alias("dim"))

@@ -108,3 +108,27 @@ def test_probe(spark):
     df = spark.createDataFrame([("f", k, line, ["a"], True) for k, line in enumerate(["Apr. 3", "Apr 4 we left", "May be", "Jun 15   Zenda"])], LINES)
     r = E.format_probe(df).first()
     assert (r.date_lines, r.inline_dates, r.month_words, r.links) == (1, 2, 1, 4)
+
+
+def test_conversion_end_to_end(spark):
+    lines = [
+        ("Fen - 2001.docx", 1, "before it all", [], True), ("Fen - 2001.docx", 2, "June 3", [], True), ("Fen - 2001.docx", 3, "Owls (moss.jpg, fen/far.png) and moss", ["../fen/moss.jpg", "fen/moss.jpg"], True),
+        ("Fen - 2001.docx", 4, "June 9", [], True), ("Fen - 2001.docx", 5, "Fog.", [], True), ("Fen - 2001.docx", 6, "June 5", [], True), ("Fen - 2001.docx", 7, "Rain.", [], True), ("Fen - 2001.docx", 8, "June 12", [], True), ("Bare.docx", 1, "no dates here", [], True),
+    ]
+    df = spark.createDataFrame(lines, "file string, line_no int, line string, links array<string>, new_par boolean")
+    media = spark.createDataFrame([("2001/fen/moss.jpg", None), ("x/walk.jpg", "2001-06-09"), ("2001/fen/moss.jpg", "2001-06-03")], "path string, date string")
+    made = {r.id: r for r in E.convert(df, media).collect()}
+    assert sorted(made) == ["fen-2001#0000", "fen-2001#0001", "fen-2001#0002", "fen-2001#0003", "fen-2001#0004"]
+    photos = lambda r: [tuple(p) for p in r.photos]
+    # links stay as often as they stand, references already linked do not come again, nor do files of the day that are linked
+    assert photos(made["fen-2001#0001"]) == [("2001/fen/moss.jpg", "link", "year_prefix")] * 2 + [("fen/far.png", "inline", "missing")]
+    assert made["fen-2001#0001"].text == "Owls and moss" and made["fen-2001#0001"].chars == 13
+    assert photos(made["fen-2001#0002"]) == [("x/walk.jpg", "date", "exact")] and "photos_by_date" in made["fen-2001#0002"].warnings and "no_photos" not in made["fen-2001#0002"].warnings
+    assert "no_photos" in made["fen-2001#0003"].warnings and "preamble" in made["fen-2001#0000"].warnings
+    assert [k for k, r in made.items() if "date_out_of_sequence" in r.warnings] == ["fen-2001#0003"]
+    # a correction resolves the warning, also of its neighbours
+    fixed = {r.id: r for r in E.convert(df, media, spark.createDataFrame([("fen-2001#0003", "2001-06-10")], "entry_id string, entry_date string")).collect()}
+    assert not [k for k, r in fixed.items() if any(w.startswith("date_out") for w in r.warnings)] and "date_corrected:from=2001-06-05" in fixed["fen-2001#0003"].warnings
+    said = {(r.what, r.kind): r.n for r in E.conversion_report(E.convert(df, media)).collect()}
+    assert said["total", "entries"] == 5 and said["total", "undated"] == 1 and said["photos", "year_prefix"] == 2 and said["warnings", "no_photos"] >= 1
+    assert E.convert(df).where("exists(photos, p -> p.resolved <> 'unchecked')").count() == 0 and E.convert(df.limit(0), media).count() == 0

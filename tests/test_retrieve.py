@@ -142,5 +142,12 @@ def test_transcripts(spark):
     rows = [say(1, "assistant", "early"), say(2, "user", "hello"), say(3, "assistant", '[{"type": "text", "text": "hi"}, {"type": "thinking", "thinking": "x"}]'), say(3, "assistant", '[{"type": "text", "text": "hi"}, {"type": "thinking", "thinking": "x"}]'), say(4, "user", "<system-reminder> x"), say(5, "assistant", "there"), say(6, "user", "<bash-input>ls</bash-input>"), say(7, "user", "bye"), say(8, "assistant", '[{"ty')]
     df = spark.createDataFrame(rows, "log_file string, line_no int, type string, message struct<role:string,content:string>")
     got = [tuple(r) for r in L.turns(df).orderBy("turn").collect()]
-    assert got == [("f", 1, "hello", False, ["hi", "there"]), ("f", 2, "ls", True, []), ("f", 3, "bye", False, [])]
+    assert got == [("", 1, "hello", False, ["hi", "there"]), ("", 2, "ls", True, []), ("", 3, "bye", False, [])]
     assert tuple(L.counts(df).first()) == (3, 1, 1, 1) and "no reply" in L.render(L.turns(df)).orderBy("turn").collect()[2].text
+
+
+def test_replies_belong_to_turns_of_earlier_files(spark):
+    rows = [("p", "b", 1, 1, "assistant", "first of all"), ("p", "b", 2, 1, "user", "one"), ("p", "a", 1, 2, "assistant", "to one"), ("p", "a", 2, 2, "user", "two"), ("q", "c", 1, 1, "user", "other"), ("p", "z", 1, 3, "assistant", "to two")]
+    df = spark.createDataFrame([(p, f, n, w, k, (k, t)) for p, f, n, w, k, t in rows], "project string, log_file string, line_no int, written int, type string, message struct<role:string,content:string>")
+    got = sorted(tuple(r) for r in L.turns(df).collect())
+    assert got == [("p", 1, "one", False, ["to one"]), ("p", 2, "two", False, ["to two"]), ("q", 1, "other", False, [])]
