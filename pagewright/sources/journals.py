@@ -68,6 +68,53 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     return named.mapInPandas(run, LINES)
 
 
+def _switched(properties, name: str) -> bool:
+    node = None if properties is None else properties.find(f"{_W}{name}")
+    return node is not None and node.get(f"{_W}val", "true") not in ("0", "false", "off", "none")
+
+
+def signatures(data: bytes) -> Iterator[tuple[int, str]]:
+    """(paragraph, how it is set): its style, bold and italic where all its text is, and a size that all its text has."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        names, usual = {}, "?"
+        if "word/styles.xml" in z.namelist():
+            for style in ElementTree.fromstring(z.read("word/styles.xml")).iter(f"{_W}style"):
+                name = style.find(f"{_W}name")
+                names[style.get(f"{_W}styleId", "")] = "?" if name is None else name.get(f"{_W}val", "?")
+                if style.get(f"{_W}type") == "paragraph" and style.get(f"{_W}default") == "1":
+                    usual = names[style.get(f"{_W}styleId", "")]
+    for number, p in enumerate(body.iter(f"{_W}p") if body is not None else ()):
+        style = p.find(f"{_W}pPr/{_W}pStyle")
+        said = [names.get(style.get(f"{_W}val", ""), style.get(f"{_W}val", "?")) if style is not None else usual]
+        runs = [r for r in p.iter(f"{_W}r") if "".join(t.text or "" for t in r.iter(f"{_W}t")).strip()]
+        marks = [r.find(f"{_W}rPr") for r in runs]
+        if runs:
+            said += [word for word, tag in (("bold", "b"), ("italic", "i")) if all(_switched(m, tag) for m in marks)]
+            sizes = {s.get(f"{_W}val", "") for m in marks if m is not None and (s := m.find(f"{_W}sz")) is not None}
+            if len(sizes) == 1:
+                said.append(f"{int(sizes.pop()) / 2:g}pt")
+        yield number, "+".join(said)
+
+
+def read_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, signature, paragraphs): how the paragraphs of each journal are set; files that cannot be read give none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(folder)
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").where(~F.startswith("file", F.lit("~$")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for file, content in zip(frame["file"], frame["content"]):
+                try:
+                    rows += [(file, said) for _, said in signatures(bytes(content))]
+                except Exception:  # noqa: BLE001 - read_lines tells of broken files
+                    continue
+            yield pd.DataFrame(rows, columns=["file", "signature"])
+
+    return named.mapInPandas(run, "file string, signature string").groupBy("file", "signature").agg(F.count("*").alias("paragraphs"))
+
+
 def photo_links(lines: DataFrame) -> DataFrame:
     """(file, paragraph, paragraph_text, anchor_text, raw_target, path) of every media link."""
     whole = lines.groupBy("file", "paragraph").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "links", "anchors"))).alias("s"))

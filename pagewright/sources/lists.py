@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from pagewright.functions.text import quoted_list
+from pagewright.session import cut
 
 ENTRY = (
     "id string, source_file string, trip string, entry_date string, month_day string, text string, "
@@ -15,7 +16,7 @@ TEMPLATE = "# question | expected, expected | NOT wrong, wrong | SAYS phrase, \"
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, line) in the file's order; such files are small and read as one row each."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).select("line_no", F.trim("line").alias("line"))
 
 
@@ -43,6 +44,38 @@ def questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return made.where(good).drop("line"), made.where(~good).select("line_no", "line")
 
 
+def private_questions(spark: SparkSession, path: str) -> DataFrame:
+    """(question, absent, says) of every line of a question file that is neither blank nor a comment, with or without expected values.
+
+    Commas part what is said and quotes are trimmed, whatever they protect: for lists of
+    what to keep out of sight, where every part counts.
+    """
+    rows = _numbered(spark, path).where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
+    parts = F.transform(F.split("line", r"\|"), lambda x: F.trim(x))
+    rows = rows.select("line_no", parts.alias("p"))
+    said = F.filter(F.slice("p", F.lit(3), F.greatest(F.size("p") - 2, F.lit(0))), lambda x: F.startswith(F.upper(x), F.lit("SAYS")))
+    body = F.regexp_replace(F.try_element_at(said, F.lit(-1)), r"^.{4}[: ]*", "")
+    values = F.transform(_items(body), lambda x: F.btrim(x, F.lit('"')))
+    absent = F.coalesce(F.upper(F.try_element_at("p", F.lit(2))) == "NONE", F.lit(False))
+    return rows.select(F.col("p")[0].alias("question"), absent.alias("absent"), F.coalesce(values, F.array().cast("array<string>")).alias("says"))
+
+
+def write_template(spark: SparkSession, path: str) -> bool:
+    """Write a question file to begin with, unless there is one; whether it was written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(at):
+        return False
+    system.setWriteChecksum(False)  # the file is for editing by hand, which a checksum beside it would call damage
+    try:
+        out = system.create(at, False)
+        out.write(bytearray(TEMPLATE.encode()))
+        out.close()
+    finally:
+        system.setWriteChecksum(True)
+    return True
+
+
 def corrections(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entry_id, entry_date) of lines "id: YYYY-MM-DD", the last of an id holding, and malformed lines.
 
@@ -60,10 +93,19 @@ def session_logs(spark: SparkSession, folder: str) -> DataFrame:
 
     Content is kept as text, be it a string or a list of blocks.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder)
-    lines = files.select(
-        F.element_at(F.split("path", "/"), -1).alias("log_file"), F.col("modificationTime").alias("written"), F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line_no", "line")
-    ).where(F.trim("line") != "")
+    # a long log is read in blocks of bytes; line numbers follow from the blocks' order, not from the file as one row
+    read_lines = spark.read.option("pathGlobFilter", "*.jsonl").text(folder)
+    meta = F.col("_metadata")
+    rows = read_lines.select(
+        meta["file_name"].alias("log_file"), meta["file_modification_time"].alias("written"), meta["file_block_start"].alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"),
+    )
+    rows = cut(rows)
+    sizes = rows.groupBy("log_file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    order = W.partitionBy("log_file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("log_file", "block", "first", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    numbered = rows.join(sizes, ["log_file", "block"]).withColumn("line_no", (F.col("before") + F.col("row") - F.col("first")).cast("int"))
+    lines = numbered.where(F.trim("line") != "")
     read = F.get_json_object
     return lines.select(
         "log_file", "written", (F.col("line_no") + 1).alias("line_no"), F.when(F.try_parse_json("line").isNotNull(), read("line", "$.type")).alias("type"),
