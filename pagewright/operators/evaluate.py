@@ -112,6 +112,30 @@ def answer_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def filtered(questions: DataFrame, needle: str) -> tuple[DataFrame, DataFrame]:
+    """(questions that hold ``needle``, one row: kept, every, comparable); rates of a part are not comparable with those of the whole."""
+    holds = F.contains(F.lower("query"), F.lit(needle.lower()))
+    counted = questions.agg(F.count_if(holds).alias("kept"), F.count("*").alias("every"))
+    return questions.where(holds), counted.withColumn("comparable", F.col("kept") == F.col("every"))
+
+
+METRICS = ("recall_1", "recall_3", "recall_5", "misses")
+
+
+def metric_deltas(before: DataFrame, after: DataFrame, changes: DataFrame) -> DataFrame:
+    """(metric, before, after, delta, direction, comparable) of two summaries of one row, with ``changes`` as of ``compare``.
+
+    A metric that either run lacks is left out. Rates are not comparable where questions came or went.
+    """
+    sets = changes.agg(F.coalesce(F.count_if(F.col("change").isin("new", "gone")) == 0, F.lit(True)).alias("comparable"))
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"o.{m}").cast("double").alias("before"), F.col(f"n.{m}").cast("double").alias("after")) for m in METRICS))
+    one = F.broadcast  # rows of one each
+    rows = before.alias("o").join(one(after.alias("n"))).select(F.explode(pairs).alias("m")).select("m.*").where("before IS NOT NULL AND after IS NOT NULL")
+    delta = F.round(F.col("after") - F.col("before"), 9)
+    direction = F.when(F.abs(delta) < 1e-9, "same").when(delta > 0, "up").otherwise("down")
+    return rows.withColumns({"delta": delta, "direction": direction}).join(one(sets))
+
+
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """(question, before, after, change): new, gone, better or worse ranks between two runs; one row a question in each."""
     o, n = F.col("o.rank"), F.col("n.rank")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewright.functions import text as T
 
@@ -74,6 +74,10 @@ def embed(chunks: DataFrame, embedder: Embedder, batch: int = 32, retries: int =
     return rows.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", vector array<float>")
 
 
+#: Buckets that stored postings are parted into by their term.
+BUCKETS = 64
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, tf): how often each token stands in each chunk."""
     return (
@@ -89,6 +93,25 @@ def doc_stats(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.size(T.tokens(F.col("text"))).alias("len"))
 
 
+def write_keyword_index(chunks: DataFrame, path: str) -> None:
+    """Store what keyword search needs of the chunks: postings by term's hash, lengths, and their sums, one version each.
+
+    Searches read the buckets of their terms only.
+    """
+    posted = postings(chunks).join(doc_stats(chunks), "chunk_id").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    posted.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    doc_stats(chunks).agg(F.count("*").alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read_keyword_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(postings with lengths, one row of sums) as stored; null where there is no whole one, which is no error."""
+    from pagewright.sources.store import exists
+
+    if not (exists(spark, f"{path}/postings/_SUCCESS") and exists(spark, f"{path}/stats/_SUCCESS")):
+        return None
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats")
+
+
 def verify(index: DataFrame, dim: int) -> DataFrame:
     """One row of what is wrong with an index, over all its rows."""
     v = F.col("vector")

@@ -36,9 +36,28 @@ def dates(*sources: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+#: Values searched for in one pass over the texts: what travels with a task at once.
+BLOCK = 20_000
+
+
+def _in_blocks(texts: DataFrame, key: str, text: str, values: DataFrame, whole: bool = False) -> DataFrame:
+    """(key, term, n) of all values, however many: gathered and searched for BLOCK at a time."""
+    out, block = None, []
+
+    def search(block: list[str]) -> DataFrame:
+        found = literal_counts(texts, key, text, block, whole=whole)
+        return found if out is None else out.unionByName(found)
+
+    for row in values.select("value").distinct().toLocalIterator():
+        block.append(row.value)
+        if len(block) == BLOCK:
+            out, block = search(block), []
+    return search(block) if block or out is None else out
+
+
 def _document_counts(entries: DataFrame, words: DataFrame) -> DataFrame:
     """(value, df): in how many entries each of the words of a question set stands."""
-    held = literal_counts(entries, "id", "text", [r.value for r in words.distinct().toLocalIterator()])
+    held = _in_blocks(entries, "id", "text", words)
     return held.groupBy(F.col("term").alias("value")).agg(F.count_distinct("id").alias("df"))
 
 
@@ -77,14 +96,11 @@ def scan(texts: DataFrame, patterns: DataFrame, key: str, text: str) -> DataFram
     """(key, kind, value): which patterns (kind, value) stand in which texts.
 
     Names and words match whole, phrases anywhere, dates not inside longer
-    numbers or time stamps. The patterns are gathered: they are lists for people
-    to keep, not data. One pass over the texts for each way of matching.
+    numbers or time stamps. Days are joined; names, words and phrases are searched for
+    in blocks of BLOCK, each one pass over the texts.
     """
-    lists: dict[str, list[str]] = {}
-    for r in patterns.select("kind", "value").distinct().toLocalIterator():
-        lists.setdefault(r.kind, []).append(r.value)
-    whole = literal_counts(texts, key, text, lists.get("name", []) + lists.get("word", []), whole=True)
-    within = literal_counts(texts, key, text, lists.get("phrase", []))
+    whole = _in_blocks(texts, key, text, patterns.where(F.col("kind").isin("name", "word")), whole=True)
+    within = _in_blocks(texts, key, text, patterns.where("kind = 'phrase'"))
     found = whole.unionByName(within).select(key, F.col("term").alias("value"))
     day = r"(?<!\d)\d{4}-\d{2}-\d{2}(?![\dT])"
     days = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(day), F.lit(0)))).alias("value"))
@@ -94,12 +110,18 @@ def scan(texts: DataFrame, patterns: DataFrame, key: str, text: str) -> DataFram
     )
 
 
-def file_policy(files: DataFrame, most: int = 5_000_000) -> DataFrame:
+# Suffixes and folders of archive content and of what is derived from it, and the largest size.
+BLOCKED_SUFFIXES = "doc docx rtf odt pages pdf txt db sqlite sqlite3 lance parquet npy pkl jpg jpeg png heic mov mp4 jsonl".split()
+BLOCKED_FOLDERS = "data journals journal-data index embeddings eval logs cache raw archive".split()
+LARGEST = 5 * 1024 * 1024
+
+
+def file_policy(files: DataFrame, most: int = LARGEST) -> DataFrame:
     """(path, reason) of files (path, size) that do not belong into a repository of code."""
     path = F.col("path")
     reason = (
-        F.when(path.rlike(r"(?i)\.(docx?|jpe?g|png|heic|mov|mp4|jsonl|parquet|db)$"), "archive content")
-        .when(path.rlike(r"(^|/)(data|raw|index|archive)/"), "archive folder")
+        F.when(path.rlike(rf"(?i)\.({'|'.join(BLOCKED_SUFFIXES)})$"), "archive content")
+        .when(path.rlike(rf"(^|/)({'|'.join(BLOCKED_FOLDERS)})/"), "archive folder")
         .when(path.rlike(r"\.ipynb$"), "notebook, may hold outputs")
         .when(F.col("size") > most, "large file")
     )

@@ -80,20 +80,30 @@ def nearest(index: DataFrame, questions: DataFrame, k: int, dim: int, key: str =
     return top(found, k, F.round("distance", 9), F.col("key")).withColumnRenamed("key", key)
 
 
-def keyword(chunks: DataFrame, questions: DataFrame, k: int, posted: DataFrame | None = None) -> DataFrame:
+def keyword(chunks: DataFrame, questions: DataFrame, k: int, stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(q, chunk_id, score, rank): the k best chunks by BM25; a question of stop words only has none.
 
     Only the questions' terms of the postings are joined; N and the mean length
-    are one row.
+    are one row. With ``stored``, an index of ``index.read_keyword_index``, the chunks'
+    texts are not read: of the postings only the buckets of the terms are, and those of
+    ``chunks`` kept.
     """
-    posted = I.postings(chunks) if posted is None else posted
     stop = F.array(*map(F.lit, T.STOP))
     terms = questions.select("q", F.explode(F.array_distinct(F.filter(T.tokens(F.col("query")), lambda t: ~F.array_contains(stop, t)))).alias("term"))
-    lengths = I.doc_stats(chunks)
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    asked = posted.join(terms.select("term").distinct(), "term", "left_semi")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    scored = asked.join(df, "term").join(lengths, "chunk_id").join(F.broadcast(whole))  # one row
+    if stored is None:
+        # one pass: every chunk's tokens give its length and the counts of the terms asked for
+        tokens = chunks.select("chunk_id", T.tokens(F.col("text")).alias("toks"))
+        whole = tokens.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("mean"))
+        asked = tokens.select("chunk_id", F.size("toks").alias("len"), F.explode("toks").alias("term"))
+        asked = asked.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "chunk_id", "len").agg(F.count("*").alias("tf"))
+        df = asked.groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        postings, whole = stored
+        buckets = terms.select("term", F.pmod(F.xxhash64("term"), F.lit(I.BUCKETS)).cast("int").alias("bucket")).distinct()
+        asked = postings.join(buckets, ["bucket", "term"], "left_semi").drop("bucket")
+        df = asked.groupBy("term").agg(F.count("*").alias("df"))  # over the whole index, as the scores are
+        asked = asked.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    scored = asked.join(df, "term").join(F.broadcast(whole))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     hits = scored.select("term", "chunk_id", weight.alias("w")).join(terms, "term").groupBy("q", "chunk_id").agg(F.round(F.sum("w"), 9).alias("score"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pagewright import session
 from pagewright.functions import dates as D, text as T
 from pagewright.operators import answer as A, evaluate as X, index as I, privacy as P, retrieve as R, staging as G, transcript as L
 from pagewright.plans import Query, table
@@ -31,8 +34,9 @@ _CHUNKS = "(SELECT DISTINCT chunk_id, entry_id, entry_date, chunk_index, year, t
 _ASKED = "(SELECT DISTINCT question_id AS q, question AS query, expected, wrong FROM questions WHERE question_id % 100 = 0)"
 
 
-def asked(s: SparkSession, d: str, vectors: bool = False) -> DataFrame:
-    rows = table(s, d, "questions").where("question_id % 100 = 0").select(F.col("question_id").alias("q"), F.col("question").alias("query"), "expected", "wrong").distinct()
+def asked(s: SparkSession, d: str, vectors: bool = False, every: bool = False) -> DataFrame:
+    """The search query set, or every question."""
+    rows = table(s, d, "questions").where("true" if every else "question_id % 100 = 0").select(F.col("question_id").alias("q"), F.col("question").alias("query"), "expected", "wrong").distinct()
     if not vectors:
         return rows
     known = table(s, d, "embeddings")
@@ -171,6 +175,15 @@ r AS (SELECT q, chunk_id, round(sum(1.0 / (60 + rank)), 12) AS rrf, min(rank) FI
 h AS (SELECT q, chunk_id, rrf, row_number() OVER (PARTITION BY q ORDER BY rrf DESC, r0 NULLS LAST, r1 NULLS LAST, chunk_id) AS rank FROM r)"""
 
 
+@query(f"WITH {_BM25} SELECT q, chunk_id, round(score, 5) AS score, rank FROM b WHERE rank <= 10")
+def bm25_stored(s: SparkSession, d: str) -> DataFrame:
+    """The same from a keyword index written to the shared folder, without reading the chunks' texts."""
+    path = f"{session.checkpoint_folder(s)}/keywords-{uuid.uuid4().hex}"
+    I.write_keyword_index(chunks(s, d, "text"), path)
+    found = R.keyword(chunks(s, d), asked(s, d), 10, I.read_keyword_index(s, path))
+    return found.select("q", "chunk_id", F.round("score", 5).alias("score"), "rank")
+
+
 @query(f"WITH {_BM25}, {_VEC}, {_RRF} SELECT q, chunk_id, round(rrf, 9) AS rrf, rank FROM h WHERE rank <= {K}")
 def rrf_hybrid(s: SparkSession, d: str) -> DataFrame:
     found = R.hybrid(vectors_of(s, d), asked(s, d, True), K, DIM)
@@ -211,6 +224,11 @@ def rare_slot_search(s: SparkSession, d: str) -> DataFrame:
     return R.search(vectors_of(s, d), asked(s, d, True), K, DIM)
 
 
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    """The same for every question."""
+    return R.search(vectors_of(s, d), asked(s, d, True, every=True), K, DIM)
+
+
 @query(f"""WITH {_TERMS}, w AS (SELECT DISTINCT q, unnest(words[1:4]) AS term, unnest(range(1, len(words[1:4]) + 1)) AS pos FROM t2),
 held2 AS (SELECT term, count(DISTINCT entry_id) AS entries FROM (SELECT DISTINCT term FROM w) x JOIN {_CHUNKS} c ON contains(lower(c.text), x.term) GROUP BY 1)
 SELECT q, term, entries FROM w JOIN held2 USING (term) QUALIFY row_number() OVER (PARTITION BY q ORDER BY entries, pos) = 1""")
@@ -269,6 +287,22 @@ def recall_summary(s: SparkSession, d: str) -> DataFrame:
     return X.summary(results(s, d), 10)
 
 
+_HALVES = {"o": "result_id % 2 = 0", "n": "result_id % 3 > 0"}
+_RATES = "count(*) FILTER (NOT absent AND rank = 1) / count(*) FILTER (NOT absent) AS recall_1, count(*) FILTER (NOT absent AND rank <= 3) / count(*) FILTER (NOT absent) AS recall_3, count(*) FILTER (NOT absent AND rank <= 5) / count(*) FILTER (NOT absent) AS recall_5, CAST(count(*) FILTER (NOT absent AND rank IS NULL) AS DOUBLE) AS misses"
+
+
+@query(f"""
+WITH o AS (SELECT {_RATES} FROM {_RES} WHERE {_HALVES['o']}), n AS (SELECT {_RATES} FROM {_RES} WHERE {_HALVES['n']}),
+c AS (SELECT count(*) = 0 AS comparable FROM (SELECT DISTINCT question FROM {_RES} WHERE {_HALVES['o']}) a FULL JOIN (SELECT DISTINCT question FROM {_RES} WHERE {_HALVES['n']}) b ON a.question = b.question WHERE a.question IS NULL OR b.question IS NULL),
+m AS (SELECT unnest(['recall_1', 'recall_3', 'recall_5', 'misses']) AS metric, round(unnest([o.recall_1, o.recall_3, o.recall_5, o.misses]), 6) AS before, round(unnest([n.recall_1, n.recall_3, n.recall_5, n.misses]), 6) AS after FROM o, n)
+SELECT metric, before, after, round(after - before, 6) AS delta, CASE WHEN abs(after - before) < 1e-9 THEN 'same' WHEN after > before THEN 'up' ELSE 'down' END AS direction, comparable FROM m, c""")
+def run_deltas(s: SparkSession, d: str) -> DataFrame:
+    """The metrics of the same two runs, and whether their question sets allow comparing them."""
+    rates = {k: X.summary(results(s, d).where(c), 10) for k, c in _HALVES.items()}
+    made = X.metric_deltas(rates["o"], rates["n"], run_compare(s, d))
+    return made.withColumn("delta", F.round("delta", 6))
+
+
 @query(f"""
 WITH o AS (SELECT question, min(rank) AS rank FROM {_RES} WHERE result_id % 2 = 0 GROUP BY 1), n AS (SELECT question, min(rank) AS rank FROM {_RES} WHERE result_id % 3 > 0 GROUP BY 1)
 SELECT coalesce(o.question, n.question) AS question, o.rank AS before, n.rank AS after, CASE WHEN o.question IS NULL THEN 'new' WHEN n.question IS NULL THEN 'gone' WHEN o.rank IS NOT DISTINCT FROM n.rank THEN 'same'

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.operators import answer as A, evaluate as X, index as I, privacy as P, retrieve as R, staging as G, transcript as L
 
@@ -137,6 +138,42 @@ def test_privacy(spark):
     assert {r.path for r in P.file_policy(files).collect()} == {"a.docx", "src/x.py"}
 
 
+def test_policy_takes_in_every_suffix_and_folder(spark):
+    names = [f"a.{x}" for x in P.BLOCKED_SUFFIXES] + [f"x/{f}/y.py" for f in P.BLOCKED_FOLDERS] + ["A.RTF", "n.ipynb"]
+    files = spark.createDataFrame([(n, 1) for n in names + ["src/x.py", "indexes/y.py", "notes.md"]] + [("big.py", 5 * 1024 * 1024 + 1), ("fits.py", 5 * 1024 * 1024)], "path string, size long")
+    assert {r.path for r in P.file_policy(files).collect()} == {*names, "big.py"}
+
+
+def test_patterns_are_searched_for_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 3)
+    texts = spark.createDataFrame([(k, f"word{k} stands here") for k in range(10)], "k int, t string")
+    patterns = spark.createDataFrame([("word", f"word{k}") for k in range(10)], "kind string, value string")
+    assert {tuple(r) for r in P.scan(texts, patterns, "k", "t").collect()} == {(k, "word", f"word{k}") for k in range(10)}
+    assert P.scan(texts, patterns.limit(0), "k", "t").count() == 0
+
+
+def test_stored_keyword_index(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "glass owl moss"), ("b", "owl owl fen"), ("c", "rain")], "chunk_id string, text string")
+    asked = spark.createDataFrame([(1, "the owl and moss"), (2, "nothing")], "q int, query string")
+    assert I.read_keyword_index(spark, str(tmp_path / "k")) is None
+    I.write_keyword_index(rows, str(tmp_path / "k"))
+    stored = I.read_keyword_index(spark, str(tmp_path / "k"))
+    assert R.keyword(rows, asked, 5).collect() == R.keyword(rows.select("chunk_id"), asked, 5, stored).collect()
+    # of the index only the chunks asked among, with the scores of the whole
+    assert [r.chunk_id for r in R.keyword(rows.where("chunk_id = 'b'").select("chunk_id"), asked, 5, stored).collect()] == ["b"]
+
+
+def test_filtered_questions_and_deltas(spark):
+    asked = spark.createDataFrame([(1, "Where was the Owl"), (2, "moss")], "q int, query string")
+    kept, note = X.filtered(asked, "owl")
+    assert [r.q for r in kept.collect()] == [1] and tuple(note.first()) == (1, 2, False)
+    one = lambda r1, misses: spark.createDataFrame([(r1, 0.5, misses)], "recall_1 double, recall_3 double, misses long").withColumn("recall_5", F.lit(None).cast("double"))
+    changes = lambda c: spark.createDataFrame([("x", c)], "question string, change string")
+    got = {r.metric: (r.delta, r.direction, r.comparable) for r in X.metric_deltas(one(0.25, 3), one(0.5, 2), changes("better")).collect()}
+    assert got == {"recall_1": (0.25, "up", True), "recall_3": (0.0, "same", True), "misses": (-1.0, "down", True)}
+    assert not X.metric_deltas(one(0.25, 3), one(0.5, 2), changes("new")).first().comparable
+
+
 def test_transcripts(spark):
     say = lambda n, kind, text: ("f", n, kind, (kind, text))
     rows = [say(1, "assistant", "early"), say(2, "user", "hello"), say(3, "assistant", '[{"type": "text", "text": "hi"}, {"type": "thinking", "thinking": "x"}]'), say(3, "assistant", '[{"type": "text", "text": "hi"}, {"type": "thinking", "thinking": "x"}]'), say(4, "user", "<system-reminder> x"), say(5, "assistant", "there"), say(6, "user", "<bash-input>ls</bash-input>"), say(7, "user", "bye"), say(8, "assistant", '[{"ty')]

@@ -90,6 +90,41 @@ def test_config(tmp_path, monkeypatch):
         config.load(str(f))
 
 
+def test_private_questions_and_template(spark, tmp_path):
+    path = str(tmp_path / "q.txt")
+    assert lists.write_template(spark, path) and not lists.write_template(spark, path)
+    assert (tmp_path / "q.txt").read_text() == lists.TEMPLATE and lists.private_questions(spark, path).count() == 0
+    (tmp_path / "p.txt").write_text('# no\nWho sang? | NONE\n\nWhere? | 2001-02-03 | says: "glass owl", moss,\nbare question')
+    assert sorted(tuple(r) for r in lists.private_questions(spark, str(tmp_path / "p.txt")).collect()) == [("Where?", False, ["glass owl", "moss"]), ("Who sang?", True, []), ("bare question", False, [])]
+
+
+def test_session_logs_in_blocks(spark, tmp_path):
+    text = "\n".join(json.dumps({"type": "user", "message": {"role": "user", "content": f"line {k}"}}) if k % 7 else "" for k in range(400))
+    (tmp_path / "a.jsonl").write_text(text)
+    (tmp_path / "b.jsonl").write_text("{broken")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = lists.session_logs(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {(r.line_no, r.message.content) for r in rows if r.log_file == "a.jsonl"} == {(k + 1, f"line {k}") for k in range(400) if k % 7}
+    assert [(r.line_no, r.type) for r in rows if r.log_file == "b.jsonl"] == [(1, None)]
+
+
+def test_signatures(spark, tmp_path):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = (
+        f'<w:document xmlns:w="{w}"><w:body><w:p><w:pPr><w:pStyle w:val="H1"/></w:pPr><w:r><w:rPr><w:b/><w:sz w:val="28"/></w:rPr><w:t>Day</w:t></w:r></w:p>'
+        '<w:p><w:r><w:rPr><w:i/></w:rPr><w:t>a</w:t></w:r><w:r><w:rPr><w:i w:val="0"/></w:rPr><w:t>b</w:t></w:r></w:p><w:p/></w:body></w:document>'
+    )
+    styles = f'<w:styles xmlns:w="{w}"><w:style w:type="paragraph" w:default="1" w:styleId="N"><w:name w:val="Normal"/></w:style><w:style w:type="paragraph" w:styleId="H1"><w:name w:val="heading 1"/></w:style></w:styles>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", body)
+        z.writestr("word/styles.xml", styles)
+    (tmp_path / "bad.docx").write_bytes(b"x")
+    assert {(r.file, r.signature, r.paragraphs) for r in journals.read_signatures(spark, str(tmp_path)).collect()} == {("a.docx", "heading 1+bold+14pt", 1), ("a.docx", "Normal", 2)}
+
+
 def test_store(spark, tmp_path):
     path = str(tmp_path / "t")
     assert store.latest(spark, path) is None
@@ -98,6 +133,9 @@ def test_store(spark, tmp_path):
     store.publish(spark.range(5), path)
     (tmp_path / "t" / "v9").mkdir()  # cut off while written
     assert before.count() == 3 and store.latest(spark, path).count() == 5
+    (tmp_path / "t" / "claims" / "3").write_text("")  # another writer's
+    assert store.publish(spark.range(7), path).endswith("/v4") and store.latest_before(spark, path, 4).count() == 5
+    assert store.expire(spark, path, 1) == [1, 2] and store.latest(spark, path).count() == 7
     assert store.export_json(spark.range(2), str(tmp_path / "j"), dry=True) == 2 and not (tmp_path / "j").exists()
     store.export_json(spark.range(2), str(tmp_path / "j"))
     store.export_csv(spark.range(2), str(tmp_path / "c"))
@@ -131,6 +169,9 @@ def test_stream_keeps_the_index(spark, tmp_path):
     (folder / "2.json").write_text(entry(1, "now short") + "\n" + entry(3, "new"))
     got = run()
     assert set(got) == {"e1/0", "e2/0", "e3/0"} and got["e1/0"].endswith("now short")
+    # of one batch the later version holds, though it is the shorter one
+    (folder / "3.json").write_text(entry(2, "a much longer wording than before") + "\n" + entry(2, "brief"))
+    assert run()["e2/0"].endswith("brief")
 
 
 def test_daily_counts_of_a_stream(spark, tmp_path):
@@ -148,3 +189,9 @@ def test_every_query_is_registered(spark):
     known = e.queries()
     assert set(e.oracle_sql()) <= set(known) and len(known) > 60
     assert e.entry(spark).columns
+
+
+def test_lines_of_hand_kept_files_are_numbered(spark, tmp_path):
+    (tmp_path / "c.txt").write_text("a#0001: 2001-02-03\nb#0001: 2001-02-04\na#0001: 2001-02-05\nodd")
+    fixed, bad = lists.corrections(spark, str(tmp_path / "c.txt"))
+    assert {r.entry_id: r.entry_date for r in fixed.collect()} == {"a#0001": "2001-02-05", "b#0001": "2001-02-04"} and [r.line_no for r in bad.collect()] == [3]
