@@ -103,7 +103,7 @@ def split_packed(fields: pa.Array, tokens: bool = False) -> pa.ListArray:
     lengths = pc.utf8_length(fields).to_numpy(zero_copy_only=False).astype(np.int64)
     rows = len(lengths)
     ends = np.cumsum(lengths)
-    chars = np.frombuffer("".join(fields.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    chars = _code_points(fields)
     n = len(chars)
     if not n:
         return pa.ListArray.from_arrays(pa.array(np.zeros(rows + 1, np.int32)), pa.array([], pa.string()))
@@ -168,6 +168,28 @@ def split_packed(fields: pa.Array, tokens: bool = False) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+def _code_points(fields: pa.LargeStringArray) -> np.ndarray:
+    """The code points of all fields, one after another, from the UTF-8 buffer of the array.
+
+    A code point is where a byte does not continue one; its bits are put together from
+    the lead byte and the continuations behind it, all of a width at once.
+    """
+    fields = fields.combine_chunks() if isinstance(fields, pa.ChunkedArray) else fields
+    _, offsets, data = fields.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[fields.offset : fields.offset + len(fields) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    leads = np.flatnonzero((raw & 0xC0) != 0x80)
+    first = raw[leads].astype(np.uint32)
+    chars = first.copy()
+    for width, mask, low in ((2, 0x1F, 0xC0), (3, 0x0F, 0xE0), (4, 0x07, 0xF0)):
+        at = np.flatnonzero((first >= low) & (first < (0xE0, 0xF0, 0x100)[width - 2]))
+        value = first[at] & mask
+        for k in range(1, width):
+            value = value << 6 | (raw[leads[at] + k] & 0x3F)
+        chars[at] = value
+    return chars
+
+
 def _strings(chars: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """An Arrow string array over the code points, cut by sizes."""
     data = chars.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace")

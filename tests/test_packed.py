@@ -49,3 +49,16 @@ def test_rows(spark):
     rows = sorted(map(tuple, unpack_values(df, "id", "says", opening="says").collect()))
     assert rows == [(1, 1, "a"), (1, 1, "a"), (1, 2, "b"), (1, 2, "b"), (3, 1, "x" * 50000)]
     assert unpack_values(df.limit(0), "id", "says").count() == 0
+
+
+def test_code_points_of_the_buffer():
+    import numpy as np
+    import pyarrow as pa
+
+    from pagewright.operators.packed import _code_points
+
+    texts = ["", "aé", "山🦉", "Ω", "", "߿ࠀ￿\U00010000\U0010ffff"]
+    want = [ord(c) for c in "".join(texts)]
+    assert _code_points(pa.array(texts, pa.large_string())).tolist() == want
+    assert _code_points(pa.array(["zz", *texts], pa.large_string()).slice(1)).tolist() == want
+    assert not len(_code_points(pa.array([], pa.large_string()))) and np.array(want).max() == 0x10FFFF
