@@ -2,63 +2,69 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from pagewright.functions import text as T
 
 LIMIT, LEAST, OVERLAP = 1600, 200, 1
 
 
-def split_sentences(paragraph: Column, limit: Column, overlap: int = OVERLAP) -> Column:
-    """A paragraph over the limit as runs of sentences; each run opens with the last ``overlap`` sentences before it."""
-    text = "array<string>"
-    state = F.struct(F.array().cast(text).alias("out"), F.array().cast(text).alias("cur"), F.lit(0).alias("n"))
+_SENTENCE = re.compile(T.SENTENCE, re.ASCII)
+
+
+def _spans(sizes: list[int], limit: int, gap: int, slack: int = 0, overlap: int = 0) -> Iterator[tuple[int, int]]:
+    """(start, end) of greedy runs of items: each as long as its items and a ``gap`` behind each, the last one's less ``slack``, allow.
+
+    A run begins ``overlap`` items before the end of the one before, and takes one more item in any case.
+    """
+    ends = np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype=np.int64) + gap)])
+    start = end = 0
+    while end < len(sizes):
+        start = max(end - overlap, 0)
+        end = max(end + 1, int(np.searchsorted(ends, ends[start] + limit + slack, side="right")) - 1)
+        yield start, end
+
 
-    def width(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0), lambda s, p: s + F.length(p) + 1)
+def sentence_runs(paragraph: str, limit: int, overlap: int = OVERLAP) -> list[str]:
+    """A paragraph over the limit as runs of sentences; each run opens with the last ``overlap`` sentences before it."""
+    parts = [x for x in _SENTENCE.split(paragraph) if x.strip(" ")]
+    return [" ".join(parts[a:b]) for a, b in _spans([*map(len, parts)], limit, 1, 1, overlap)] or [paragraph]
 
-    def step(a: Column, s: Column) -> Column:
-        full = (F.size(a["cur"]) > 0) & (a["n"] + F.length(s) > limit)
-        tail = F.slice(a["cur"], F.greatest(F.size(a["cur"]) - overlap + 1, F.lit(1)), F.lit(overlap)) if overlap else F.array().cast(text)
-        cur = F.when(full, tail).otherwise(a["cur"])
-        return F.struct(
-            F.when(full, F.array_append(a["out"], F.array_join(a["cur"], " "))).otherwise(a["out"]).alias("out"),
-            F.array_append(cur, s).alias("cur"),
-            (F.when(full, width(tail)).otherwise(a["n"]) + F.length(s) + 1).alias("n"),
-        )
 
-    done = lambda a: F.when(F.size(a["cur"]) > 0, F.array_append(a["out"], F.array_join(a["cur"], " "))).otherwise(a["out"])
-    runs = F.aggregate(T.sentence_parts(paragraph), state, step, done)
-    return F.when(F.size(runs) > 0, runs).otherwise(F.array(paragraph))
+def packed(parts: list[str], limit: int, least: int, overlap: int) -> list[str]:
+    """Paragraphs packed greedily under the limit, in one pass over their sizes; see ``pack``."""
+    out: list[str] = []
+    for long, stretch in itertools.groupby(parts, key=lambda p: len(p) > limit):
+        own = [*stretch]
+        if long:
+            out += itertools.chain.from_iterable(sentence_runs(p, limit, overlap) for p in own)
+        else:
+            out += ("\n\n".join(own[a:b]) for a, b in _spans([*map(len, own)], limit, 2))
+    if len(out) > 1 and len(out[-1]) < least:
+        out[-2:] = ["\n\n".join(out[-2:])]
+    return out
 
 
 def pack(parts: Column, limit: Column, least: int = LEAST, overlap: int = OVERLAP) -> Column:
     """Paragraphs packed greedily under the limit; a last scrap under ``least`` joins the chunk before it.
 
     A paragraph over the limit becomes runs of sentences; a sentence over it stays whole.
+    Runs on Arrow batches: a fold over arrays copies what it made at every step.
     """
-    text = "array<string>"
-    state = F.struct(F.array().cast(text).alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))
-
-    def step(a: Column, p: Column) -> Column:
-        long = F.length(p) > limit
-        flush = (a["n"] > 0) & (long | (a["n"] + F.length(p) + 2 > limit))
-        out = F.when(flush, F.array_append(a["out"], a["cur"])).otherwise(a["out"])
-        fresh = flush | (a["n"] == 0)
-        return F.struct(
-            F.when(long, F.concat(out, split_sentences(p, limit, overlap))).otherwise(out).alias("out"),
-            F.when(long, "").when(fresh, p).otherwise(F.concat(a["cur"], F.lit("\n\n"), p)).alias("cur"),
-            F.when(long, 0).otherwise(F.when(fresh, 0).otherwise(a["n"]) + F.length(p) + 2).alias("n"),
-        )
-
-    def done(a: Column) -> Column:  # inside the fold, which is thus evaluated once
-        chunks = F.when(a["n"] > 0, F.array_append(a["out"], a["cur"])).otherwise(a["out"])
-        size, last = F.size(chunks), F.try_element_at(chunks, F.lit(-1))
-        whole = F.concat(F.try_element_at(chunks, F.lit(-2)), F.lit("\n\n"), last)
-        merged = F.concat(F.slice(chunks, F.lit(1), F.greatest(size - 2, F.lit(0))), F.array(whole))
-        return F.when((size > 1) & (F.length(last) < least), merged).otherwise(chunks)
-
-    return F.aggregate(parts, state, step, done)
+
+    @arrow_udf("array<string>")
+    def run(texts: pa.Array, limits: pa.Array) -> pa.Array:
+        made = [None if t is None else packed(t, n, least, overlap) for t, n in zip(texts.to_pylist(), limits.to_pylist())]
+        return pa.array(made, pa.list_(pa.string()))
+
+    return run(parts, limit)
 
 
 def chunk_entries(entries: DataFrame, limit: int = LIMIT, least: int = LEAST, overlap: int = OVERLAP) -> DataFrame:
