@@ -35,8 +35,8 @@ DISTANCE = 0.05
 SALT = 4
 #: Longs in the filter of the items' windows, at least and at most (32 MB).
 FILTER = 1 << 12, 1 << 22
-#: Distinct words that a task remembers the codes of.
-MEMO = 1 << 20
+#: Distinct words that a task remembers the codes of, and words whose windows it makes at once.
+MEMO, TOGETHER = 1 << 20, 1 << 18
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);")
 _BREAK = re.compile(r"</?(?:br|p|div|li|td|tr|h\d)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
@@ -120,12 +120,12 @@ def _mixed(parts: list[np.ndarray], seed: int) -> np.ndarray:
     return out
 
 
-def windows(codes: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the windows: words with the middle one free, templates, and whole runs of the lengths ``short``.
+def windows(codes: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, length) of the windows: words with the middle one free, templates, and whole runs of the lengths ``short``.
 
     A template has a slot and at least two words that are none: tables of numbers have no template.
     """
-    places, hashes = [], []
+    places, hashes, lengths = [], [], []
     literal = (codes >> 2).astype(np.uint64)
     n = len(codes) - WORDS + 1
     if n > 0:
@@ -138,14 +138,17 @@ def windows(codes: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray,
         where = np.flatnonzero((slots > 0) & (slots <= WORDS - 2))
         places.append(where)
         hashes.append(_mixed([typed[k : k + n][where] for k in range(WORDS)], WORDS))
+        lengths += [np.full(len(p), WORDS) for p in places]
     for size in short:
         n = len(codes) - size + 1
         if n > 0:
             places.append(np.arange(n))
             hashes.append(_mixed([literal[k : k + n] for k in range(size)], 16 + size))
+            lengths.append(np.full(n, size))
     if not places:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(places), np.concatenate(hashes).view(np.int64)
+        none = np.empty(0, np.int64)
+        return none, none, none
+    return np.concatenate(places), np.concatenate(hashes).view(np.int64), np.concatenate(lengths)
 
 
 def chain(item: np.ndarray, hits: list[tuple]) -> tuple[float, float, bool]:
@@ -210,30 +213,36 @@ def _windows_of(rows: DataFrame, short: tuple[int, ...], bits: np.ndarray | None
     """(key, at, h, w0 … w4): the windows of texts that pass the filter, with the words that stand there."""
     kind = rows.schema["key"].dataType.simpleString()
 
+    def windows_in(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place, hash, words there) of the windows of several texts that pass the filter, found in one go."""
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        words = np.concatenate([*texts, np.full(WORDS, -1, dtype=np.int64)])
+        at, h, length = windows(words, short)
+        text = np.searchsorted(starts, at, side="right") - 1
+        keep = at + length <= (starts + sizes)[text]  # no window reaches into the next text
+        if bits is not None:
+            for probe in _probes(h, len(bits)):
+                keep &= (bits[probe >> 6] >> (probe & 63)) & 1 == 1
+        at, h, text = at[keep], h[keep], text[keep]
+        said = words[np.minimum(at[:, None] + np.arange(WORDS), len(words) - 1)]
+        return text, at - starts[text], h, said
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in batches:
-            row, place, hashed, said = [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                words = coded(text, codes)
-                at, h = windows(words, short)
-                if bits is not None and len(h):
-                    keep = np.ones(len(h), dtype=bool)
-                    for probe in _probes(h, len(bits)):
-                        keep &= (bits[probe >> 6] >> (probe & 63)) & 1 == 1
-                    at, h = at[keep], h[keep]
-                if len(h):
-                    row.append(np.full(len(h), k))
-                    place.append(at)
-                    hashed.append(h)
-                    said.append(np.r_[words, np.full(WORDS, -1)][at[:, None] + np.arange(WORDS)])
-            none = np.empty(0, np.int64)
-            row, place, hashed = (np.concatenate(x) if x else none for x in (row, place, hashed))
-            said = np.concatenate(said) if said else np.empty((0, WORDS), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(hashed), *(pa.array(said[:, k]) for k in range(WORDS))],
-                names=["key", "at", "h", *_SAID],
-            )
+            texts, first, size = [], 0, 0
+            every = batch.column(1).to_pylist()
+            for k, text in enumerate(every):
+                texts.append(coded(text, codes))
+                size += len(texts[-1])
+                if size >= TOGETHER or k + 1 == len(every):
+                    row, place, hashed, said = windows_in(texts)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(row + first)), pa.array(place.astype(np.int32)), pa.array(hashed), *(pa.array(said[:, j]) for j in range(WORDS))],
+                        names=["key", "at", "h", *_SAID],
+                    )
+                    texts, first, size = [], k + 1, 0
 
     return rows.mapInArrow(run, f"key {kind}, at int, h long, " + ", ".join(f"{w} long" for w in _SAID))
 
@@ -294,7 +303,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
         for batch in batches:
             row, place, hashed = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for k, words in enumerate(batch.column(2).to_pylist()):
-                at, h = windows(np.array(words, dtype=np.int64), (len(words),) if len(words) < WORDS else ())
+                at, h, _ = windows(np.array(words, dtype=np.int64), (len(words),) if len(words) < WORDS else ())
                 row.append(np.full(len(h), k))
                 place.append(at)
                 hashed.append(h)

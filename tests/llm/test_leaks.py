@@ -13,10 +13,10 @@ def judged(doc, item):
     a, b = coded(item, codes), coded(doc, codes)
     short = (len(a),) if len(a) < 5 else ()
     known = {}
-    for p, h in zip(*windows(a, short)):
+    for p, h, _ in zip(*windows(a, short)):
         known.setdefault(int(h), []).append(int(p))
     padded = b.tolist() + [-1] * 5
-    hits = {(p, int(at), tuple(padded[at : at + 5])) for at, h in zip(*windows(b, short)) for p in known.get(int(h), [])}
+    hits = {(p, int(at), tuple(padded[at : at + 5])) for at, h, _ in zip(*windows(b, short)) for p in known.get(int(h), [])}
     return chain(a, [*hits])
 
 
@@ -101,3 +101,16 @@ def test_hot_windows_and_many_items(spark):
     docs = spark.createDataFrame([(k, FILL) for k in range(200)] + [(900, ITEM)], "doc_id bigint, text string")
     rows = find_leaks(docs, "doc_id", "text", items, "item_id", "text", salt=3).collect()
     assert {r.item_id for r in rows if r.doc_id == 900} == set(range(40))
+
+
+def test_windows_do_not_reach_into_the_next_text(spark, monkeypatch):
+    from pagewright.llm import leaks
+
+    words = ITEM.split()
+    parts = [" ".join(words[k : k + 3]) for k in range(0, len(words), 3)]
+    docs = spark.createDataFrame([(k, p) for k, p in enumerate(parts)] + [(99, ITEM)], "doc_id bigint, text string").coalesce(1)
+    items = spark.createDataFrame([(1, ITEM), (2, "wet hands so")], "item_id bigint, text string")
+    for size in (1, 10, 1 << 18):
+        monkeypatch.setattr(leaks, "TOGETHER", size)
+        rows = find_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()
+        assert {(r.doc_id, r.item_id) for r in rows} == {(99, 1), (99, 2), (9, 2)}  # the ninth is "wet hands, so"
