@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewright.functions import text as T
+from pagewright.operators.privacy import counts_in_blocks
 
 WEAK = 0.60
 
@@ -67,10 +68,11 @@ def validate(questions: DataFrame, entries: DataFrame) -> DataFrame:
     asked = real.select("q", F.explode(F.array_distinct("expected")).alias("value")).withColumn("_d", F.substring("value", 1, 10))
     unknown = asked.join(dates.distinct(), "_d", "left_anti").select("q", F.lit("unknown_date").alias("problem"), "value")
     says = real.select("q", F.explode(F.array_distinct("says")).alias("value"))
-    texts = entries.select(F.col("entry_date").alias("_d"), F.lower("text").alias("_t"))
-    said = (
-        asked.select("q", "_d").distinct().join(says, "q").join(texts, "_d").where(F.contains(F.col("_t"), F.lower("value"))).select("q", "value").distinct()
-    )
+    # the days asked for, then one pass over their texts for all that should be said; no text goes into a join with questions
+    texts = entries.select(F.col("entry_date").alias("_d"), "text").join(asked.select("_d").distinct(), "_d", "left_semi")
+    terms = says.select("q", "value", F.lower("value").alias("term"))
+    met = counts_in_blocks(texts, "_d", "text", terms.select(F.col("term").alias("value"))).select("_d", "term").distinct()
+    said = met.join(terms, "term").join(asked.select("q", "_d").distinct(), ["q", "_d"]).select("q", "value").distinct()
     missing = says.join(said, ["q", "value"], "left_anti").select("q", F.lit("missing_says").alias("problem"), "value")
     return dup.unionByName(unknown).unionByName(missing)
 

@@ -40,7 +40,7 @@ def dates(*sources: DataFrame) -> DataFrame:
 BLOCK = 20_000
 
 
-def _in_blocks(texts: DataFrame, key: str, text: str, values: DataFrame, whole: bool = False) -> DataFrame:
+def counts_in_blocks(texts: DataFrame, key: str, text: str, values: DataFrame, whole: bool = False) -> DataFrame:
     """(key, term, n) of all values, however many: gathered and searched for BLOCK at a time."""
     out, block = None, []
 
@@ -57,7 +57,7 @@ def _in_blocks(texts: DataFrame, key: str, text: str, values: DataFrame, whole:
 
 def _document_counts(entries: DataFrame, words: DataFrame) -> DataFrame:
     """(value, df): in how many entries each of the words of a question set stands."""
-    held = _in_blocks(entries, "id", "text", words)
+    held = counts_in_blocks(entries, "id", "text", words)
     return held.groupBy(F.col("term").alias("value")).agg(F.count_distinct("id").alias("df"))
 
 
@@ -99,8 +99,8 @@ def scan(texts: DataFrame, patterns: DataFrame, key: str, text: str) -> DataFram
     numbers or time stamps. Days are joined; names, words and phrases are searched for
     in blocks of BLOCK, each one pass over the texts.
     """
-    whole = _in_blocks(texts, key, text, patterns.where(F.col("kind").isin("name", "word")), whole=True)
-    within = _in_blocks(texts, key, text, patterns.where("kind = 'phrase'"))
+    whole = counts_in_blocks(texts, key, text, patterns.where(F.col("kind").isin("name", "word")), whole=True)
+    within = counts_in_blocks(texts, key, text, patterns.where("kind = 'phrase'"))
     found = whole.unionByName(within).select(key, F.col("term").alias("value"))
     day = r"(?<!\d)\d{4}-\d{2}-\d{2}(?![\dT])"
     days = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(day), F.lit(0)))).alias("value"))
